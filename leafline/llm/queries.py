@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, exact_dedup, ngram_join
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -17,6 +17,20 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_byte_bpe": op1_byte_bpe}
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
-SQL: dict[str, str] = {}
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_byte_bpe": op1_byte_bpe, "op8_exact_dedup": op8_exact_dedup, "op9_ngram_join": op9_ngram_join}
+
+SQL: dict[str, str] = {
+    "op8_exact_dedup": r"""
+with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
+     g as (select t, min(doc_id) as keep_id, count(*) as group_size from n group by t)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256 from n join g using (t)
+""",
+}
