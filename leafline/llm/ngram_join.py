@@ -66,7 +66,7 @@ class Shingler:
 
     def __init__(self, n: int) -> None:
         self.n, self.words = n, Words()
-        self.odd = [_ODD[i % 4] * np.uint64(2 * i + 1) for i in range(n)]
+        self.odd = [np.uint64(int(_ODD[i % 4]) * (2 * i + 1) % 2**64) for i in range(n)]
 
     def __call__(self, text: bytes) -> np.ndarray:
         """Sorted distinct 64-bit hashes of the shingles of a lower-cased text."""
