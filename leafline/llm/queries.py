@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, ngram_join
+from . import bpe, exact_dedup, mixing, ngram_join, toxicity
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -17,6 +18,18 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id")))
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels), ["doc_id"])
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(table(spark, sf_dir, "documents"))
+    return planned.select("doc_id", "size", "source_size", "target", "taken", "passes", F.round("first_position", 9).alias("first_position"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -25,9 +38,27 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_byte_bpe": op1_byte_bpe, "op8_exact_dedup": op8_exact_dedup, "op9_ngram_join": op9_ngram_join}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_byte_bpe": op1_byte_bpe, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op8_exact_dedup": op8_exact_dedup, "op9_ngram_join": op9_ngram_join}
 
 SQL: dict[str, str] = {
+    "op5_mixing": r"""
+with d as (select doc_id, source, md5(coalesce(cast(doc_id as varchar), '')) as h, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size from documents),
+     s0 as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+     s1 as (select *, (row_number() over (order by source nulls last) - 1) % 3 as slot from s0),
+     s2 as (select *, case slot when 0 then 5 when 1 then 2 else 1 end as w, source_size * 3 as top from s1),
+     s3 as (select *, (sum(source_size) over () - coalesce(sum(top) over o, 0)) / (sum(w) over () - coalesce(sum(w) over o, 0)) * w > top as capped
+            from s2 window o as (order by top / w, source nulls last rows between unbounded preceding and 1 preceding)),
+     s4 as (select source, slot, source_size, case when capped then cast(top as double) else
+              (cast(sum(source_size) over () as double) - sum(case when capped then top else 0 end) over ()) / sum(case when capped then 0 else w end) over () * w end as target from s3),
+     r0 as (select d.doc_id, d.size, s4.*, sum(size) over (partition by d.source order by h, doc_id, size rows between unbounded preceding and current row) - size as start
+            from d join s4 on d.source is not distinct from s4.source),
+     r1 as (select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as whole from r0),
+     r2 as (select *, cast(least(greatest(floor(target) - whole * source_size - start, 0), size) as bigint) as part from r1),
+     r3 as (select *, whole * size + part as taken, case when whole * size + part > 0 then whole + cast(part > 0 as bigint) else 0 end as passes, start / target as y from r2)
+select doc_id, size, source_size, target, taken, passes,
+       round(case when passes = 0 then null when slot = 0 then 0.0 + (sqrt(1.5 * 1.5 + 2 * -1.0 * y) - 1.5) / -1.0 when slot = 1 then y else 0.0 + (sqrt(0.5 * 0.5 + 2 * 1.0 * y) - 0.5) / 1.0 end, 9) as first_position
+from r3
+""",
     "op8_exact_dedup": r"""
 with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
      g as (select t, min(doc_id) as keep_id, count(*) as group_size from n group by t)
