@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import shutil
 import tempfile
@@ -81,10 +83,19 @@ def mapped(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | N
                 yield _batch(out, arrow)
         if last and (out := step(None)) is not None:
             yield _batch(out, arrow)
+        del step
+        _trim()
 
     return df.mapInArrow(run, schema)
 
 
+def _trim() -> None:
+    """Gives freed memory back: workers live on between tasks, beside a heap that fills the rest."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in schema], schema=schema)
 

@@ -14,7 +14,8 @@ parts has two shingles or more in both; if neither is, both keep all. So no link
 
 Links are sought between distinct sets only (copies are collapsed per scan task, then by class)
 and not as all pairs of a group: each bucket links its members with its smallest member; pairs
-are made distinct and verified on the exact words. Then buckets whose members are still in
+are made distinct and verified on the whole sets, read from heap files (64-bit hashes of shingles of
+64-bit hashes of words). Then buckets whose members are still in
 several components compare members of different components. That leaves every two linked
 documents in one component. Components come from contracting each node into its least neighbour.
 
@@ -41,7 +42,7 @@ from .heap import Heap, HeapWriter
 
 #: Spare parts, as a share of those that the pigeonhole needs.
 MARGIN = 0.12
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -130,14 +131,10 @@ class Bands:
         return np.concatenate(out).view(np.int64)
 
 
-def linked(a: set, b: set, percent: int) -> bool:
-    both = len(a & b)
-    return 100 * both >= percent * (len(a) + len(b) - both) and both > 0
-
-
-def exact_shingles(text: bytes, n: int) -> set:
-    w = text.split()
-    return set(zip(*(w[i:] for i in range(n)), strict=False)) if len(w) >= n else {tuple(w)} if w else set()
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets of hashes are linked."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def _scan(docs: DataFrame, n: int, percent: int, folder: str) -> DataFrame:
@@ -187,13 +184,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataF
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def make():
-        heap, last = Heap(), {}
+        heap, last, hashed = Heap(), {}, Shingler(n)
 
-        def shingles(file: str, at: int, length: int) -> set:
+        def shingles(file: str, at: int, length: int) -> np.ndarray:
             if (found := last.get((file, at))) is None:
                 if len(last) >= 8:
                     last.pop(next(iter(last)))
-                found = last[file, at] = exact_shingles(heap.read(file, at, length), n)
+                found = last[file, at] = hashed(heap.read(file, at, length))
             return found
 
         def step(batch: pa.RecordBatch) -> dict:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, ngram_join, toxicity
+from . import bpe, exact_dedup, mixing, ngram_join, toxicity, url_rules, warc
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -18,6 +18,14 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=False)
 
 
+#: Rules of the contract: host and path, longest wins.
+URL_RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
+
+
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), [url_rules.host_rule(*r) for r in URL_RULES])
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id")))
@@ -30,6 +38,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", "taken", "passes", F.round("first_position", 9).alias("first_position"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.read(warc.write(table(spark, sf_dir, "pages")), payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -38,9 +51,29 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_byte_bpe": op1_byte_bpe, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op8_exact_dedup": op8_exact_dedup, "op9_ngram_join": op9_ngram_join}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_byte_bpe": op1_byte_bpe, "op2_url_rules": op2_url_rules, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op7_warc": op7_warc, "op8_exact_dedup": op8_exact_dedup, "op9_ngram_join": op9_ngram_join}
 
 SQL: dict[str, str] = {
+    "op2_url_rules": r"""
+with u as (select page_id, case when url like '%://%' then regexp_extract(substr(url, position('://' in url) + 3), '^([^/?#]*)', 1) else '' end as h0,
+                  case when url like '%://%' then regexp_extract(substr(url, position('://' in url) + 3), '^[^/?#]*([^?#]*)', 1) else '' end as path from pages),
+     v as (select page_id, lower(h0) as host, path from u),
+     r(rule, rule_host, rule_path, verdict) as (values ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'), ('net/de/', 'net', '/de/', 'allow'),
+                                   ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')),
+     m as (select page_id, host, path, rule, r.verdict, row_number() over (partition by page_id order by length(rule) desc) as n
+           from v left join r on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)),
+     p as (select page_id, min(name) as pattern from v, (select unnest(['ads', 'adserver', 'banner', 'banners', 'casino', 'clickbait', 'download', 'lottery', 'malware', 'phishing', 'popup', 'porn',
+             'sexcam', 'torrent', 'tracker', 'warez', 'xxx']) as name) where regexp_matches(lower(host || path), '(^|[^a-z0-9])' || name || '($|[^a-z0-9])') group by page_id)
+select m.page_id, host, path, rule, coalesce(verdict, case when pattern is not null or regexp_matches(lower(host || path), '[.](exe|apk|msi)$') then 'block' else 'allow' end) as verdict,
+       case when rule is null then coalesce(pattern, case when regexp_matches(lower(host || path), '[.](exe|apk|msi)$') then '\.(?:exe|apk|msi)$' end) end as pattern
+from m left join p using (page_id) where n = 1
+""",
+    "op7_warc": r"""
+with d as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+     f as (select *, min(page_id) over (partition by payload_digest) as first from d)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and page_id > first then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and page_id > first then first end as refers_to from f
+""",
     "op5_mixing": r"""
 with d as (select doc_id, source, md5(coalesce(cast(doc_id as varchar), '')) as h, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size from documents),
      s0 as (select source, cast(sum(size) as bigint) as source_size from d group by source),

@@ -1,8 +1,9 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 fit() takes at most SAMPLE labelled rows (those of the smallest hash of doc_id), and from their
-words the informative ones: whose log-likelihood ratio with the label passes a bound corrected
-for the number of words tried, TERMS at most. Document frequencies of these words are counted
+words and their beginnings of three to eight letters (so that endings may change), the
+informative ones: whose log-likelihood ratio with the label passes a bound corrected
+for the number of terms tried, and which most often stand in toxic examples; TERMS at most. Document frequencies of these words are counted
 over all documents and whole texts. Examples are unit vectors of (1 + ln tf) * idf over these
 words. score() finds each document's K nearest examples exactly: blocks of examples are visited
 by falling upper bound, the sum of the query's weights times the block's largest weights, until no
@@ -15,7 +16,7 @@ scoring) are narrow, without a shuffle of texts.
 
 Cases: a null or empty text has no words and gets the rate of examples without informative words. Repeated rows are
 scored alike. A doc_id with several labels counts as toxic if any label is; with several texts,
-the least text is the example. Null doc_ids and null labels teach nothing. An empty table gives
+the least text is the example; equal texts are one example, toxic if any is. Null doc_ids and null labels teach nothing. An empty table gives
 an empty table; without labels every score is 0. Ties between equally near examples go to the one that stands first
 in the index. Other columns of the input are kept by score(), ignored by fit().
 """
@@ -35,6 +36,9 @@ from pyspark.sql import functions as F
 from .common import mapped, texts, written
 
 SAMPLE, TERMS, K, BLOCK, SOFT, PRIOR = 20_000, 4096, 15, 64, 0.05, 1.0
+#: Terms that may pass by chance; each is rare, and votes weigh it.
+FALSE = 10
+STEMS = range(3, 9)
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -42,6 +46,35 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def terms_of(word: str) -> list[str]:
+    """The word itself, and its beginnings of STEMS letters: an insult keeps its stem when its ending changes."""
+    return [word + "$", *(word[:k] for k in STEMS if k <= len(word))]
+
+
+class Known(dict):
+    """Word -> the vocabulary's terms that it has; kept while they fit."""
+
+    def __init__(self, vocabulary: dict[str, int]) -> None:
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= 200_000:
+            self.clear()
+        self[word] = found = tuple(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary)
+        return found
+
+    def counts(self, text: str) -> dict[int, int]:
+        """Counts by term of a whole text."""
+        found = words(text)
+        hit = {w for w in set(found) if self[w]}
+        out: Counter = Counter()
+        if hit:
+            for w in found:
+                if w in hit:
+                    out.update(self[w])
+        return dict(out)
+
+
 @dataclass
 class Index:
     """Examples as unit vectors, blocks of BLOCK of them in the order of their strongest word."""
@@ -120,7 +153,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_terms: int
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # the sample is bounded, so its ids may be broadcast
     taught = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
-    taught = written(spark, taught.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "taught")
+    taught = taught.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    # copies teach once
+    taught = written(spark, taught.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")), "taught")
 
     def count():
         seen: dict[str, list[int]] = {}
@@ -132,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_terms: int
                 return {"term": names, "n": [*(v[0] for v in seen.values()), n[0]], "toxic": [*(v[1] for v in seen.values()), n[1]]}
             for text, label in zip(texts(batch), batch.column("label").to_pylist(), strict=True):
                 n[0], n[1] = n[0] + 1, n[1] + label
-                for w in set(words(text)):
+                for w in {t for w in set(words(text)) for t in terms_of(w)}:
                     v = seen.setdefault(w, [0, 0])
                     v[0], v[1] = v[0] + 1, v[1] + label
             return None
@@ -149,19 +184,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_terms: int
     a, b = F.col("toxic"), F.col("n") - F.col("toxic")
     c, d = toxic - a, (n - toxic) - b
     llr = 2 * (cell(a, F.col("n") * (toxic / n)) + cell(b, F.col("n") * (1 - toxic / n)) + cell(c, (n - F.col("n")) * (toxic / n)) + cell(d, (n - F.col("n")) * (1 - toxic / n)))
-    chosen = terms.where("term is not null").withColumn("llr", llr).where(F.col("llr") > 2 * math.log(max(tried, 1) / 0.05)).orderBy(F.desc("llr"), "term").limit(max_terms)
+    chosen = terms.where("term is not null").withColumn("llr", llr).where((F.col("llr") > 2 * math.log(max(tried, FALSE) / FALSE)) & (2 * a > F.col("n"))).orderBy(F.desc("llr"), "term").limit(max_terms)
     vocabulary = {r.term: i for i, r in enumerate(chosen.select("term").collect())}
 
     def frequency():
-        seen: Counter = Counter()
+        seen, known = Counter(), Known(vocabulary)
 
         def step(batch: pa.RecordBatch | None) -> dict | None:
             if batch is None:
                 return {"term": [-1, *[t for t in seen if t >= 0]], "n": [seen[-1], *[v for t, v in seen.items() if t >= 0]]}
             for text in texts(batch):
                 seen[-1] += 1
-                for w in vocabulary.keys() & set(words(text)):
-                    seen[vocabulary[w]] += 1
+                seen.update({t for w in set(words(text)) for t in known[w]})
             return None
 
         return step
@@ -172,8 +206,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_terms: int
     index = Index(vocabulary, np.array([math.log((1 + everything) / (1 + df.get(i, 0))) + 1 for i in range(len(vocabulary))]), base=toxic / n)
 
     def vectors():
+        known = Known(vocabulary)
+
         def step(batch: pa.RecordBatch) -> dict:
-            found = [_counts(t, vocabulary) for t in texts(batch)]
+            found = [known.counts(t) for t in texts(batch)]
             return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "terms": [list(f) for f in found], "counts": [list(f.values()) for f in found]}
 
         return step
@@ -187,12 +223,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_terms: int
     return index
 
 
-def _counts(text: str, vocabulary: dict[str, int]) -> dict[int, int]:
-    found = words(text)
-    hit = vocabulary.keys() & set(found)
-    return dict(Counter(vocabulary[w] for w in found if w in hit)) if hit else {}
-
-
 def score(docs: DataFrame, index: Index, columns: list[str], k: int = K) -> DataFrame:
     """These columns of docs, with score, predicted (1 from 0.5 on) and evidence. `text` is read; columns of these three names give way."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -200,18 +230,19 @@ def score(docs: DataFrame, index: Index, columns: list[str], k: int = K) -> Data
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def make():
-        model, known = shared.value, {}
+        model, scored = shared.value, {}
+        known = Known(model.terms)
 
         def step(batch: pa.RecordBatch) -> dict:
             out = []
             for text in texts(batch, "_text"):
-                counts = _counts(text, model.terms)
+                counts = known.counts(text)
                 key = tuple(sorted(counts.items()))
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[key] = model.score(counts, k)
-                out.append(known[key])
+                if key not in scored:
+                    if len(scored) > 20_000:
+                        scored.clear()
+                    scored[key] = model.score(counts, k)
+                out.append(scored[key])
             return {c: batch.column(c) for c in keep} | {"score": [s for s, _ in out], "predicted": [int(s >= 0.5) for s, _ in out], "evidence": [e for _, e in out]}
 
         return step
