@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, ngram_join, toxicity, url_rules, warc
+from . import bpe, exact_dedup, licenses, mixing, ngram_join, pii, toxicity, url_rules, warc, winnow
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -26,6 +26,10 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), [url_rules.host_rule(*r) for r in URL_RULES])
 
 
+def op3_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compare(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id")))
@@ -38,6 +42,15 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", "taken", "passes", F.round("first_position", 9).alias("first_position"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    of = lambda f: F.array_join(F.transform("found", f), ",")
+    return found.select(
+        "doc_id", "blocks", F.size("found").alias("n_found"), of(lambda x: x.license).alias("licenses"), of(lambda x: x.verdict).alias("verdicts"),
+        of(lambda x: F.concat_ws(":", x.start.cast("string"), x.end.cast("string"))).alias("spans"),
+    )
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.read(warc.write(table(spark, sf_dir, "pages")), payloads=False)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -51,7 +64,11 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_byte_bpe": op1_byte_bpe, "op2_url_rules": op2_url_rules, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op7_warc": op7_warc, "op8_exact_dedup": op8_exact_dedup, "op9_ngram_join": op9_ngram_join}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_byte_bpe": op1_byte_bpe, "op2_url_rules": op2_url_rules, "op3_winnow": op3_winnow, "op4_toxicity": op4_toxicity, "op5_mixing": op5_mixing, "op6_licenses": op6_licenses, "op7_warc": op7_warc, "op8_exact_dedup": op8_exact_dedup, "op9_ngram_join": op9_ngram_join, "op10_pii": op10_pii}
 
 SQL: dict[str, str] = {
     "op2_url_rules": r"""
