@@ -445,12 +445,19 @@ def inline(text: str, refs: dict[str, str] | None = None) -> Inline:
 
 def plain_text(text: str, refs: dict[str, str] | None = None) -> str:
     """A heading's text without marks; soft breaks are spaces."""
-    text = CODE_SPAN.sub(lambda m: "\0" + m[2].strip() + "\0", text)
+    out, at = [], 0
+    for m in CODE_SPAN.finditer(text):
+        out += [_plain(text[at : m.start()], refs), m[2].strip()]
+        at = m.end()
+    return "".join([*out, _plain(text[at:], refs)]).replace("\n", " ").strip()
+
+
+def _plain(text: str, refs: dict[str, str] | None) -> str:
     text = LINK.sub(lambda m: m[2], text)
     text = REFERENCE.sub(lambda m: m[1] if refs and label_key(m[2] or m[1]) in refs else m[0], text)
     text = INLINE_HTML.sub("", AUTOLINK.sub(lambda m: m[1], text))
     text = re.sub(r"(?<!\\)(\*\*|__|~~|\*|(?<!\w)_|_(?!\w))", "", text)
-    return entities.unescape(re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", text)).replace("\0", "").replace("\n", " ").strip()
+    return entities.unescape(re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", text))
 
 
 def heading_text(fragment: str, refs: dict[str, str] | None = None) -> str:
