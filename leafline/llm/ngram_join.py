@@ -14,9 +14,11 @@ parts has two shingles or more in both; if neither is, both keep all. So no link
 
 Links are sought between distinct sets only (copies are collapsed per scan task, then by class)
 and not as all pairs of a group: each bucket links its members with its smallest member; pairs
-are made distinct and verified on the whole sets, read from heap files (64-bit hashes of shingles of
-64-bit hashes of words). Then buckets whose members are still in
-several components compare members of different components. That leaves every two linked
+are made distinct, sieved by explicit sketches of 64 * LONGS bits (the Hamming distance is at most the
+symmetric difference) and verified on the whole sets, read from heap files (64-bit hashes of shingles of
+64-bit hashes of words). Where a bucket's members are
+still in several components, another member meets the rest, TURNS times; at last all members of
+different components meet, sieved inside that join. That leaves every two linked
 documents in one component. Components come from contracting each node into its least neighbour.
 
 Cases: null text counts as empty. Fewer words than n: the whole sequence is one shingle; no
@@ -34,12 +36,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mapped, new_path, written
 from .heap import Heap, HeapWriter
 
+#: Longs of the explicit parity sketch that pairs are sieved by: 64 bits each.
+LONGS = 16
+#: Rounds in which a bucket's members meet another one of them, before the last, in which all of different components meet.
+TURNS = 2
 #: Spare parts, as a share of those that the pigeonhole needs.
 MARGIN = 0.12
 WORDS_KEPT = 150_000
@@ -131,6 +137,19 @@ class Bands:
         return np.concatenate(out).view(np.int64)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The parity of the numbers of shingles at each of 64 * LONGS bits, as longs."""
+    at = _mix(shingles ^ _ODD[2]) % np.uint64(64 * LONGS)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=64 * LONGS) & 1).astype(np.uint8)).view(np.int64)
+
+
+def near(percent: int) -> Column:
+    """Whether nodes a and b can be linked by their sizes and sketches: each bit that differs is a shingle that differs."""
+    apart = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(1, LONGS)), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
+    sizes = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
+    return sizes & (apart * (100 + percent) <= (100 - percent) * (F.col("a_n") + F.col("b_n")))
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets of hashes are linked."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -150,7 +169,7 @@ def _scan(docs: DataFrame, n: int, percent: int, folder: str) -> DataFrame:
             if batch is None:
                 heap.close()
                 return None
-            out = {k: [] for k in ("row", "entry", "n_shingles", "node", "check", "text_sha256", "keys", "file", "at", "length")}
+            out = {k: [] for k in ("row", "entry", "n_shingles", "node", "check", "text_sha256", "keys", "sketch", "file", "at", "length")}
             for text in batch.column("text").to_pylist():
                 text = text or b""
                 lower = text.lower()  # of bytes: A-Z only
@@ -167,20 +186,21 @@ def _scan(docs: DataFrame, n: int, percent: int, folder: str) -> DataFrame:
                 out["check"].append(int.from_bytes(digest[8:], "little", signed=True))
                 out["text_sha256"].append(hashlib.sha256(text).hexdigest())
                 out["keys"].append(bands.keys(s) if first else None)
+                out["sketch"].append(sketch(s) if first else None)
                 for k, v in zip(("file", "at", "length"), heap.put(lower) if first else (None,) * 3, strict=True):
                     out[k].append(v)
             return out | {"doc_id": batch.column("doc_id")}
 
         return step
 
-    schema = f"doc_id {kind}, row long, entry long, n_shingles long, node long, check long, text_sha256 string, keys array<long>, file string, at long, length int"
+    schema = f"doc_id {kind}, row long, entry long, n_shingles long, node long, check long, text_sha256 string, keys array<long>, sketch array<long>, file string, at long, length int"
     return mapped(docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")), make, schema, last=True)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose exact shingle sets are linked. Sizes are compared first, then the words from the heap files."""
-    end = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "file", "at", "length")])
-    full = pairs.join(end("a"), "a").join(end("b"), "b").where(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
+    """The pairs (a, b) whose exact shingle sets are linked. Sizes and sketches sieve, then the words from the heap files decide."""
+    end = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in nodes.columns if c not in ("node", "check")])
+    full = pairs.join(end("a"), "a").join(end("b"), "b").where(near(percent)).select("a", "b", *[f"{x}_{c}" for x in "ab" for c in ("file", "at", "length")])
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def make():
@@ -239,22 +259,33 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     rows = written(spark, _scan(docs, n, percent, new_path(spark, "ngram-heap")), "ngram-rows")
     entries = rows.where("file is not null")
     # one node for each set; should two sets share the 64 bits of a node, the one with the smaller check is the node
-    nodes = entries.groupBy("node").agg(F.min(F.struct("check", "row", "n_shingles", "file", "at", "length")).alias("x")).select("node", "x.check", F.col("x.n_shingles").alias("n"), "x.file", "x.at", "x.length")
+    nodes = entries.groupBy("node").agg(F.min(F.struct("check", "row", "n_shingles", "file", "at", "length", "sketch")).alias("x"))
+    nodes = nodes.select("node", "x.check", F.col("x.n_shingles").alias("n"), "x.file", "x.at", "x.length", *[F.col("x.sketch")[i].alias(f"s{i}") for i in range(LONGS)])
     nodes = written(spark, nodes, "nodes")
     least = F.min("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
     keyed = entries.where("size(keys) > 0").select("node", F.explode("keys").alias("key"))
     star = written(spark, keyed.withColumn("rep", least).where("node <> rep").distinct(), "star")
     found = written(spark, _verified(star.select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct(), nodes, n, percent), "links")
     roots = components(found)
-    # members outside their bucket's first component meet the bucket's members of other components
     of = lambda df, c, to: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
-    inside = written(spark, of(of(star, "node", "root"), "rep", "rep_root"), "members")
-    apart = inside.where("root <> rep_root").select("key", F.col("node").alias("a"), F.col("root").alias("a_root"))
-    others = inside.select("key", F.col("node").alias("b"), F.col("root").alias("b_root"), (F.col("root") == F.col("rep_root")).alias("first"))
-    more = apart.join(others, "key").where("a_root <> b_root and (first or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    late = written(spark, _verified(more, nodes, n, percent), "links")
-    if not late.isEmpty():
-        roots = components(found.union(late))
+    members = written(spark, star.select("key", "node").union(star.select("key", F.col("rep").alias("node"))).distinct(), "members")
+    for turn in range(TURNS + 1):
+        # only buckets whose members are in several components can still hold a link that matters
+        inside = written(spark, of(members, "node", "root"), "inside")
+        split = inside.groupBy("key").agg((F.min("root") != F.max("root")).alias("split")).where("split").select("key")
+        open_ = inside.join(split, "key", "left_semi")
+        if turn < TURNS:  # another member of each bucket, chosen by hash, meets the rest
+            by = Window.partitionBy("key").orderBy(F.xxhash64("key", "node", F.lit(turn)), "node").rowsBetween(Window.unboundedPreceding, 0)
+            met = open_.withColumn("first", F.first(F.struct("node", "root")).over(by)).where("root <> first.root")
+            more = met.select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")).distinct()
+        else:  # all members of different components meet, sieved inside the join
+            full = open_.join(nodes.select("node", "n", *[f"s{i}" for i in range(LONGS)]), "node")
+            end = lambda x: full.select(F.col("key").alias(f"{x}_key"), F.col("node").alias(x), F.col("root").alias(f"{x}_root"), *[F.col(c).alias(f"{x}_{c}") for c in ("n", *[f"s{i}" for i in range(LONGS)])])  # noqa: B023, E731
+            more = end("a").join(end("b"), F.expr("a_key = b_key and a < b and a_root <> b_root") & near(percent)).select("a", "b").distinct()
+        late = written(spark, _verified(more, nodes, n, percent), "links")
+        if not late.isEmpty():
+            found = found.union(late)
+            roots = components(found)
     # smallest doc_id by entry, by class, by component; entries are at most as hot as a scan task
     of_entry = rows.where("node is not null").groupBy("entry", "node", "check").agg(F.min("doc_id").alias("least"))
     real = of_entry.join(nodes.select("node", F.col("check").alias("node_check")), "node")
