@@ -31,6 +31,16 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext._leafline_sent = True
 
 
+#: Bytes up to which an input is dealt over all cores before Python reads it; larger inputs have files enough.
+SMALL = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input, which may be one file and so one task, over all cores."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df
+
+
 def mapped(df: DataFrame, step: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """Each Arrow batch of df as lists by column through step, to rows of schema."""
     ship(df.sparkSession)

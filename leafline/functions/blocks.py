@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from .html import HEADINGS, Parsed, Tag, parse
+from .html import HEADINGS, Parsed, Tag, kept_texts, parse
 
 #: Id code and sync role of each kind of block.
 KINDS = {
@@ -52,6 +52,8 @@ class Document:
     blocks: list[Block] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
     ref_defs: str = ""
+    too_deep: bool = False
+    texts: list[int] = field(default_factory=list)  # places of an HTML document's text segments
 
 
 def block_id(kind: str, ordinal: int) -> str:
@@ -208,7 +210,11 @@ def html_document(text: str) -> Document:
     """An HTML document as leaf blocks in source order."""
     p = parse(text.replace("\0", "�"))
     r = _Region(p)
+    if p.breach is not None:
+        r.doc.too_deep = True
+        return r.doc
     r.region(0, len(p.raw), "", [])
+    r.doc.texts = [s[0] for s in kept_texts(p)]
     return number(r.doc)
 
 

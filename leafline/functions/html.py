@@ -320,7 +320,7 @@ def inventory(text: str) -> list[str]:
     return [("/" if t.kind == "close" else "") + t.name for t in parse(text).tags if t.kind != "skip"]
 
 
-def _kept(p: Parsed) -> list[tuple[int, int, str, str]]:
+def kept_texts(p: Parsed) -> list[tuple[int, int, str, str]]:
     """(start, end, decoded text, label) of the text nodes that hold more than white space, outside templates."""
     inert = [(e.open_end, e.content_end) for e in p.elements if e.name == "template" and e.own == "html"]
     out = []
@@ -344,13 +344,13 @@ def _shallow(text: str) -> Parsed:
 
 def segments(text: str) -> list[tuple[str, str]]:
     """(decoded text, parent's name) of a block's text segments; raises TooDeep."""
-    return [(s[2], s[3]) for s in _kept(_shallow(text))]
+    return [(s[2], s[3]) for s in kept_texts(_shallow(text))]
 
 
 def splice(text: str, translated: Sequence[str], collapse: bool = False) -> str:
     """The block with its segments replaced, all other bytes as they are; an unchanged segment keeps its bytes."""
     p = _shallow(text)
-    kept = _kept(p)
+    kept = kept_texts(p)
     if len(kept) != len(translated):
         raise ValueError(f"block has {len(kept)} segments, got {len(translated)}")
     out, at = [], 0

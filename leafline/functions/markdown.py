@@ -287,8 +287,11 @@ IMAGE_ONLY = re.compile(r"!\[(?:[^\[\]\\]|\\.)*\](?:\([^()\s]*(?:\s+\"[^\"]*\")?
 def document(text: str) -> Document:
     """A Markdown document as leaf blocks in source order."""
     raw = text.replace("\0", "�").encode()
-    lines, starts, ends = split_lines(raw)
     doc, refs = Document(raw), {}
+    if depth_bound(text) > DEEPEST:
+        doc.too_deep = True
+        return doc
+    lines, starts, ends = split_lines(raw)
 
     def add(kind: str, node: Node, path: list[int], **more) -> None:
         first = lines[node.first]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..arrow import mapped
+from ..arrow import mapped, spread
 from ..functions import markdown
-from ..functions.blocks import KINDS, UNTRANSLATED, Document, html_document
-from ..functions.html import TooDeep, inventory, parse, segments
+from ..functions.blocks import KINDS, UNTRANSLATED, Block, Document, html_document
+from ..functions.html import TooDeep, inventory, segments
 from ..functions.text import siphash13
 
 BLOCKS = (
@@ -38,16 +40,15 @@ def read(text: str, form: str) -> Document:
     return html_document(text) if form == "html" else markdown.document(text)
 
 
-def too_deep(text: str, form: str) -> bool:
-    return parse(text).breach is not None if form == "html" else markdown.depth_bound(text) > markdown.DEEPEST
-
-
-def outcome(payload: str, spelling: str) -> str | None:
-    """For an HTML block: unit, preserved (no segments) or failed."""
-    if spelling != "html":
+def outcome(doc: Document, b: Block) -> str | None:
+    """For an HTML block: unit or preserved (no segments), failed if it nests too deeply."""
+    if b.spelling != "html":
         return None
+    if doc.texts:
+        i = bisect_left(doc.texts, b.start)
+        return "unit" if i < len(doc.texts) and doc.texts[i] < b.end else "preserved"
     try:
-        return "unit" if segments(payload) else "preserved"
+        return "unit" if segments(doc.raw[b.start : b.end].decode("utf-8", "replace")) else "preserved"
     except TooDeep:
         return "failed"
 
@@ -59,20 +60,20 @@ def scan(documents: DataFrame) -> DataFrame:
         out: dict = {f.split()[0]: [] for f in BLOCKS.split(", ")}
         slices: list[bytes] = []
         for doc_id, text, form in zip(rows["doc_id"], rows["text"], rows["format"], strict=True):
-            if text is None or too_deep(text, form):
+            doc = None if text is None else read(text, form)
+            if doc is None or doc.too_deep:
                 continue
-            doc = read(text, form)
             for i, b in enumerate(doc.blocks):
                 part = doc.raw[b.start : b.end]
                 slices.append(part)
                 payload = part.decode("utf-8", "replace")
-                values = (doc_id, i, b.block_id, b.kind, b.info, b.fenced, b.ordered, b.task, b.label, b.spelling, b.html_type, b.start, b.end, None, b.section, b.path, payload, outcome(payload, b.spelling))
+                values = (doc_id, i, b.block_id, b.kind, b.info, b.fenced, b.ordered, b.task, b.label, b.spelling, b.html_type, b.start, b.end, None, b.section, b.path, payload, outcome(doc, b))
                 for c, v in zip(out, values, strict=True):
                     out[c].append(v)
         out["source_hash"] = siphash13(slices).astype("int64").tolist()
         return out
 
-    return mapped(documents.select("doc_id", "text", "format"), step, BLOCKS)
+    return mapped(spread(documents.select("doc_id", "text", "format")), step, BLOCKS)
 
 
 def rejects(documents: DataFrame, cap: int | None = None) -> DataFrame:
@@ -81,7 +82,7 @@ def rejects(documents: DataFrame, cap: int | None = None) -> DataFrame:
     def step(rows: dict) -> dict:
         out: dict = {"doc_id": [], "reason": []}
         for doc_id, text, form in zip(rows["doc_id"], rows["text"], rows["format"], strict=True):
-            reason = "null" if text is None else "oversize" if cap is not None and len(text.encode()) > cap else "nesting" if too_deep(text, form) else None
+            reason = "null" if text is None else "oversize" if cap is not None and len(text.encode()) > cap else "nesting" if read(text, form).too_deep else None
             if reason:
                 out["doc_id"].append(doc_id)
                 out["reason"].append(reason)
@@ -106,7 +107,7 @@ def html_segments(blocks: DataFrame) -> DataFrame:
 
 def tag_inventory(documents: DataFrame) -> DataFrame:
     """(doc_id, tags) with the names of all tags in order."""
-    return mapped(documents.select("doc_id", "text"), lambda rows: {"doc_id": rows["doc_id"], "tags": [inventory(t or "") for t in rows["text"]]}, "doc_id long, tags array<string>")
+    return mapped(spread(documents.select("doc_id", "text")), lambda rows: {"doc_id": rows["doc_id"], "tags": [inventory(t or "") for t in rows["text"]]}, "doc_id long, tags array<string>")
 
 
 # --- relations over blocks in order: keys are the columns of a document, order its order ---

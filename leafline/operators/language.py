@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..arrow import mapped
+from ..arrow import mapped, spread
 
 #: Scripts that one language of the sixteen uses (targets), their letters, and letters of theirs that the target never writes.
 SCRIPT_OF = {"ko": "hangul", "ja": "kana", "ru": "cyrillic", "ar": "arabic", "hi": "devanagari"}
@@ -73,7 +73,7 @@ def detect_text(text: str) -> str | None:
 def detected(documents: DataFrame) -> DataFrame:
     """Adds detected to documents(doc_id, text). A substitute for a trained detector, measured on labelled documents."""
     kind = dict(documents.dtypes)["doc_id"]
-    return mapped(documents.select("doc_id", "text"), lambda r: r | {"detected": [detect_text(t or "") for t in r["text"]]}, f"doc_id {kind}, text string, detected string")
+    return mapped(spread(documents.select("doc_id", "text")), lambda r: r | {"detected": [detect_text(t or "") for t in r["text"]]}, f"doc_id {kind}, text string, detected string")
 
 
 def reading(text: Column, script: str) -> Column:
