@@ -42,7 +42,16 @@ def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts the lineage, and lost executors cost nothing that was written."""
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._leafline_path = path
+    return out
+
+
+def drop(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Deletes tables of written(), or paths, that nothing reads any more."""
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else t._leafline_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:

@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import mapped, written
 
 WINDOW, SUPPORT, GENERALISE, REMOVE = 5, 3, 0.6, 0.9
+#: Words whose counts a task holds at a time, give or take a batch.
+HELD = 150_000
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Patterns of the contract. A run of digits is tried at its beginning only, as from within it the same parts follow; an address is sought at its `@`.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -113,9 +115,19 @@ def _scan(docs: DataFrame, window: int) -> DataFrame:
 
         def step(batch: pa.RecordBatch | None) -> dict | None:
             out: dict = {c: [] for c in names}
+            ids = [] if batch is None else batch.column("doc_id").to_pylist()
+
+            def flush() -> None:
+                for c in names[:-2]:
+                    out[c] += [None] * len(counts)
+                ids.extend([None] * len(counts))
+                out["word"] += counts
+                out["n"] += counts.values()
+                counts.clear()
+
             if batch is None:
-                size = len(counts)
-                return {c: [None] * size for c in names} | {"doc_id": [None] * size, "word": list(counts), "n": list(counts.values())}
+                flush()
+                return out | {"doc_id": ids}
             for text in batch.column("text").to_pylist():
                 text = text or ""
                 spans = base_spans(text)
@@ -126,7 +138,9 @@ def _scan(docs: DataFrame, window: int) -> DataFrame:
                 state["row"] += 1
                 for c, v in zip(names, values, strict=True):
                     out[c].append(v)
-            return out | {"doc_id": batch.column("doc_id")}
+            if len(counts) > HELD:  # counts of parts are summed later
+                flush()
+            return out | {"doc_id": ids}
 
         return step
 

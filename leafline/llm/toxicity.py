@@ -33,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, texts, written
+from .common import drop, mapped, texts, written
 
 SAMPLE, TERMS, K, BLOCK, SOFT, PRIOR = 20_000, 4096, 15, 64, 0.05, 1.0
 #: Terms that may pass by chance; each is rare, and votes weigh it.
 FALSE = 10
 STEMS = range(3, 9)
+#: Terms whose counts a task holds at a time.
+HELD = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -161,16 +163,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_terms: int
         seen: dict[str, list[int]] = {}
         n = [0, 0]
 
+        def flush() -> dict:
+            out = {"term": [*seen, None], "n": [*(v[0] for v in seen.values()), n[0]], "toxic": [*(v[1] for v in seen.values()), n[1]]}
+            seen.clear()
+            n[:] = 0, 0
+            return out
+
         def step(batch: pa.RecordBatch | None) -> dict | None:
-            if batch is None:
-                names = [*seen, None]
-                return {"term": names, "n": [*(v[0] for v in seen.values()), n[0]], "toxic": [*(v[1] for v in seen.values()), n[1]]}
-            for text, label in zip(texts(batch), batch.column("label").to_pylist(), strict=True):
+            parts = [flush()] if batch is None else []
+            for text, label in [] if batch is None else zip(texts(batch), batch.column("label").to_pylist(), strict=True):
                 n[0], n[1] = n[0] + 1, n[1] + label
                 for w in {t for w in set(words(text)) for t in terms_of(w)}:
                     v = seen.setdefault(w, [0, 0])
                     v[0], v[1] = v[0] + 1, v[1] + label
-            return None
+                if len(seen) > HELD:  # sums of parts are summed again
+                    parts.append(flush())
+            return {c: [x for p in parts for x in p[c]] for c in ("term", "n", "toxic")} if parts else None
 
         return step
 
@@ -220,6 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_terms: int
     index.bare = ((bare[1] or 0) + PRIOR * index.base) / (bare[0] + PRIOR)
     # at most `sample` rows
     index.fill([(r.doc_id, r.label, dict(zip(r.terms, r.counts, strict=True))) for r in examples.where("size(terms) > 0").collect()])
+    drop(spark, taught, terms)
     return index
 
 
