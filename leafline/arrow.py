@@ -37,6 +37,8 @@ SMALL = 128 << 20
 
 def spread(df: DataFrame) -> DataFrame:
     """A small input, which may be one file and so one task, over all cores."""
+    if df.isStreaming:
+        return df
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df
 

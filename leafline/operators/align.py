@@ -102,3 +102,28 @@ def sync_attributes(row_id: Column, role: Column, kind: Column, status: Column,
 def first_anchors(anchors: DataFrame, key: str, name: str, order: str) -> DataFrame:
     """The first of each id."""
     return anchors.withColumn("_n", F.row_number().over(Window.partitionBy(key, name).orderBy(order))).where("_n = 1").drop("_n")
+
+
+ROLES = ("anchor", "container", "child-only", "non-sync")
+
+
+def loaded(maps: DataFrame, key: str, text: str, more: str = "") -> DataFrame:
+    """Rows of alignment maps in JSON with the first fault of each, of maps whose major version is known.
+
+    Faults: no_id, unknown_role, range (inverted).
+    """
+    row = (more.replace(" ", ":") + "," if more else "") + "source_block_id:string,sync_role:string,source_range:struct<start:bigint,end:bigint>"
+    parsed = maps.select(key, F.from_json(text, f"struct<schema_version:string,blocks:array<struct<{row}>>>").alias("m"))
+    rows = parsed.where(F.col("m.schema_version").startswith("1.")).select(key, F.explode("m.blocks").alias("b")).select(key, "b.*")
+    fault = F.when(F.col("source_block_id").isNull(), "no_id").when(~F.col("sync_role").isin(*ROLES), "unknown_role").when(F.col("source_range.start") > F.col("source_range.end"), "range")
+    return rows.withColumn("fault", fault)
+
+
+def synchronised(rows: DataFrame) -> DataFrame:
+    return rows.where("sync_role <> 'non-sync'")
+
+
+def drift(rows: DataFrame, anchors: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, drift): rows without an anchor in the pane, and anchors without a row."""
+    a = rows.select(*keys).join(anchors.select(*keys), keys, "left_anti").withColumn("drift", F.lit("row_without_anchor"))
+    return a.unionByName(anchors.select(*keys).join(rows.select(*keys), keys, "left_anti").withColumn("drift", F.lit("anchor_without_row")))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..arrow import mapped
 from ..functions import html, markdown
+from ..functions.blocks import html_document
 from ..functions.text import INVISIBLE, cut_bytes, has_visible_text
+from .units import received
 
 #: Warnings kept and their bytes.
 WARNINGS, WARNING_BYTES = 8, 512
@@ -97,20 +99,66 @@ def _check_html(source: str, result: str) -> tuple[str, str] | None:
 
 
 def verdicts(units: DataFrame, results: DataFrame) -> DataFrame:
-    """(doc_id, unit_id, status, accepted, rejected_by, reason) of units(doc_id, unit_id, kind, spelling, payload) against results(doc_id, unit_id, translated). A unit without exactly one result is rejected by schema."""
+    """(doc_id, unit_id, status, accepted, rejected_by, reason, answer) of units(doc_id, unit_id, kind, spelling, html_type, payload, sent) against results(doc_id, unit_id, translated). A unit without exactly one result is rejected by schema."""
     got = results.groupBy("doc_id", "unit_id").agg(F.count(F.lit(1)).alias("n"), F.min("translated").alias("translated"))
-    both = units.join(got, ["doc_id", "unit_id"], "left").select("doc_id", "unit_id", "kind", "spelling", "payload", "n", "translated")
+    both = units.join(got, ["doc_id", "unit_id"], "left").select("doc_id", "unit_id", "kind", "spelling", "html_type", "payload", "sent", "n", "translated")
+
+    def judge(kind, spelling, html_type, payload, was_sent, n, new) -> tuple[str | None, tuple[str, str] | None]:
+        if n != 1 or new is None:
+            return None, ("schema", "missing" if not n else "duplicated" if n > 1 else "null")
+        text, reason = received(kind, spelling, html_type, payload, was_sent, new)
+        fault = ("per_kind", reason) if reason else check_unit(kind, spelling, payload, text)
+        return (None if fault else text), fault
 
     def step(rows: dict) -> dict:
-        out: dict = {c: [] for c in ("doc_id", "unit_id", "status", "accepted", "rejected_by", "reason")}
-        for doc_id, unit, kind, spelling, payload, n, new in zip(*[rows[c] for c in ("doc_id", "unit_id", "kind", "spelling", "payload", "n", "translated")], strict=True):
-            fault = ("schema", "missing" if not n else "duplicated" if n > 1 else "null") if n != 1 or new is None else check_unit(kind, spelling, payload, new)
-            values = (doc_id, unit, "fallback_source" if fault else "translated", None if fault else new, fault and fault[0], fault and cut_bytes(fault[1], WARNING_BYTES)[0])
+        out: dict = {c: [] for c in ("doc_id", "unit_id", "status", "accepted", "rejected_by", "reason", "answer")}
+        columns = [rows[c] for c in ("doc_id", "unit_id", "kind", "spelling", "html_type", "payload", "sent", "n", "translated")]
+        for doc_id, unit, *rest in zip(*columns, strict=True):
+            text, fault = judge(*rest)
+            values = (doc_id, unit, "fallback_source" if fault else "translated", text, fault and fault[0], fault and cut_bytes(fault[1], WARNING_BYTES)[0], rest[-1])
             for c, v in zip(out, values, strict=True):
                 out[c].append(v)
         return out
 
-    return mapped(both, step, "doc_id long, unit_id string, status string, accepted string, rejected_by string, reason string")
+    return mapped(both, step, "doc_id long, unit_id string, status string, accepted string, rejected_by string, reason string, answer string")
+
+
+def gate_fault(before: str, after: str, form: str) -> tuple[int, str] | None:
+    """(place, reason) of the first block at which a regenerated document leaves its source's structure: kinds, tags, the bytes between blocks, boundaries."""
+    read = lambda t: html_document(t) if form == "html" else markdown.document(t)
+    a, b = read(before), read(after)
+    for i, (x, y) in enumerate(zip(a.blocks, b.blocks, strict=False)):
+        if x.kind != y.kind:
+            return i, f"{x.kind} became {y.kind}"
+        if form == "html":
+            tags = [html.inventory(d.raw[n.start : n.end].decode("utf-8", "replace")) for d, n in ((a, x), (b, y))]
+            if tags[0] != tags[1]:
+                return i, "tags differ"
+        elif x.kind == "list-item" and (x.ordered, x.task) != (y.ordered, y.task):
+            return i, "list item differs"
+    if len(a.blocks) != len(b.blocks):
+        return min(len(a.blocks), len(b.blocks)), f"{len(a.blocks)} blocks became {len(b.blocks)}"
+    for i, (x, y) in enumerate(zip(markdown.gaps(a), markdown.gaps(b), strict=True)):
+        if a.raw[x[0] : x[1]] != b.raw[y[0] : y[1]]:
+            return max(0, min(i, len(a.blocks) - 1)), "bytes between blocks differ"
+    return None
+
+
+def gate(documents: DataFrame, regenerated: DataFrame) -> DataFrame:
+    """(doc_id, place, reason) of regenerated(doc_id, text) that fail against documents(doc_id, text, format). Unchanged texts pass unread."""
+    changed = regenerated.join(documents.select("doc_id", "format", F.col("text").alias("before")), "doc_id").where("text <> before")
+
+    def step(rows: dict) -> dict:
+        found = [(d, f) for d, a, b, form in zip(rows["doc_id"], rows["before"], rows["text"], rows["format"], strict=True) if (f := gate_fault(a, b, form))]
+        return {"doc_id": [d for d, _ in found], "place": [f[0] for _, f in found], "reason": [f[1] for _, f in found]}
+
+    return mapped(changed.select("doc_id", "before", "text", "format"), step, "doc_id long, place int, reason string")
+
+
+def definition_change(source: str, translated: str) -> str | None:
+    """The first label whose link definition was added, lost or changed."""
+    a, b = markdown.references(source), markdown.references(translated)
+    return next((k for k in [*a, *b] if a.get(k) != b.get(k)), None)
 
 
 def owners(offsets: DataFrame, ranges: DataFrame, key: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.blocks import KINDS
-from .operators import align, blocks, cache, glossary, language, packing, validate
+from .operators import align, blocks, cache, glossary, language, packing, prompt, units, validate
 from .plans import engine
 from .sources import files, log
 
@@ -246,6 +246,56 @@ def over_output(spark, sf_dir):
     return packing.over_output(t, "est", "target").select("conv_id", "turn")
 
 
+@query("U2_U3_U5_assembled_units")
+def assembled_units(spark, sf_dir):
+    b = units.assembled(blocks.scan(pages(spark, sf_dir)).where("outcome = 'unit'"))
+    return b.select("doc_id", "block_id", "input_mode", "sent", "constraints")
+
+
+@query("U3_G24_input_modes", _B + "select kind, case kind when 'table' then 'table_rows' when 'code-block' then 'code' when 'list-item' then 'list_item' when 'blockquote' then 'blockquote' when 'html' then 'html_segments' else 'markdown' end as mode, count(*) as n from b group by all")
+def input_modes(spark, sf_dir):
+    return turns(spark, sf_dir).select("kind", units.mode(F.col("kind"), F.lit("markdown")).alias("mode")).groupBy("kind", "mode").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("G13_G16_prompt_round_trip", "select conv_id, cast(turn as varchar) as unit_id, text as translated from conversations")
+def prompt_round_trip(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("turn").cast("string").alias("unit_id"), F.col("role").alias("kind"), F.col("text").alias("payload"), F.lit(None).cast("string").alias("context"))
+    p = prompt.user_prompt(t, ["conv_id"], "turn").withColumn("answer", F.replace("prompt", F.lit('"payload":'), F.lit('"translated_payload":')))
+    return prompt.answers(p, ["conv_id"], "answer").select("conv_id", "unit_id", "translated")
+
+
+@query("G14_batch_facts", "select conv_id, bool_or(role = 'assistant') as any_html, bool_or(turn % 5 = 4) as any_window from conversations group by conv_id")
+def batch_facts(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").withColumns({"spelling": F.when(F.col("role") == "assistant", "html").otherwise("markdown"), "unit_id": F.when(F.col("turn") % 5 == 4, "t-0001.w02").otherwise("t-0001")})
+    return prompt.facts(t, ["conv_id"])
+
+
+@query("G18_json_body", r"select conv_id, turn, substr(cast(to_json(role || chr(34) || chr(92) || chr(10)) as varchar), 2, length(cast(to_json(role || chr(34) || chr(92) || chr(10)) as varchar)) - 2) as body from conversations")
+def json_bodies(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", prompt.json_body(F.concat("role", F.lit('"\\\n'))).alias("body"))
+
+
+@query("M20_M21_loaded_rows", "select conv_id, turn, case when turn % 6 = 0 then 'no_id' when turn % 6 = 1 then 'unknown_role' when turn % 6 = 2 then 'range' end as fault from conversations where conv_id % 5 <> 0")
+def loaded_rows(spark, sf_dir):
+    t, m = table(spark, sf_dir, "conversations"), F.col("turn") % 6
+    row = F.struct("turn", F.when(m != 0, F.col("role")).alias("source_block_id"), F.when(m == 1, "odd").otherwise("anchor").alias("sync_role"), F.struct(F.when(m == 2, 9).otherwise(1).alias("start"), F.lit(5).alias("end")).alias("source_range"))
+    maps = t.groupBy("conv_id").agg(F.to_json(F.struct(F.when(F.col("conv_id") % 5 == 0, "2.0.0").otherwise("1.3.0").alias("schema_version"), F.collect_list(row).alias("blocks"))).alias("map"))
+    return align.loaded(maps, "conv_id", "map", "turn long").select("conv_id", "turn", "fault")
+
+
+@query("M28_M29_drift", "select conv_id, turn, case when turn % 4 = 0 then 'row_without_anchor' else 'anchor_without_row' end as drift from conversations where turn % 4 in (0, 1)")
+def drift(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations")
+    return align.drift(t.where("turn % 4 <> 1"), t.where("turn % 4 <> 0"), ["conv_id", "turn"])
+
+
+@query("L3_L7_L10_languages", "select c.conv_id % 5 as k, ['ko', 'ja', 'en', 'ru', 'xx'][c.conv_id % 5 + 1] as code, ['kor', 'jpn', 'eng', 'rus', null][c.conv_id % 5 + 1] as iso, ['hangul', 'kana', null, 'cyrillic', null][c.conv_id % 5 + 1] as script, count(*) as n from conversations c group by all")
+def languages(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 5).alias("k"))
+    t = t.withColumn("code", F.element_at(F.array(*[F.lit(x) for x in ("ko", "ja", "en", "ru", "xx")]), (F.col("k") + 1).cast("int")))
+    return t.withColumns({"iso": blocks.literal_map({k: v[0] for k, v in language.LANGUAGES.items()})[F.col("code")], "script": blocks.literal_map(language.SCRIPT_OF)[F.col("code")]}).groupBy("k", "code", "iso", "script").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- validation ---
 
 
@@ -258,9 +308,9 @@ union all select conv_id, id, 'duplicated' from j where asked is not null and go
 """)
 def schema_faults(spark, sf_dir):
     t = table(spark, sf_dir, "conversations")
-    units = t.where("turn % 3 <> 0").select("conv_id", F.expr("turn div 2").alias("id"))
+    asked = t.where("turn % 3 <> 0").select("conv_id", F.expr("turn div 2").alias("id"))
     results = t.where("turn % 2 = 0").select("conv_id", F.col("turn").alias("id")).unionByName(t.where("turn % 4 = 0").select("conv_id", F.col("turn").alias("id")))
-    return validate.schema_faults(units, results, ["conv_id", "id"])
+    return validate.schema_faults(asked, results, ["conv_id", "id"])
 
 
 @query("V14_V37_visible", "select doc_id, regexp_matches(coalesce(text, ''), '[^\\s]') as visible from documents")
@@ -270,8 +320,8 @@ def visible(spark, sf_dir):
 
 @query("V3_verdicts")
 def verdict_rows(spark, sf_dir):
-    b = blocks.scan(pages(spark, sf_dir)).where("outcome = 'unit'").withColumn("unit_id", F.col("block_id"))
-    results = b.select("doc_id", "unit_id", F.when(F.col("ord") % 5 == 0, F.concat("payload", F.lit("<b>x</b>"))).otherwise(F.col("payload")).alias("translated")).where("ord % 7 <> 0")
+    b = units.assembled(blocks.scan(pages(spark, sf_dir)).where("outcome = 'unit'")).withColumn("unit_id", F.col("block_id"))
+    results = b.select("doc_id", "unit_id", F.when(F.col("ord") % 5 == 0, F.lit("[]")).otherwise(F.upper("sent")).alias("translated")).where("ord % 7 <> 0")
     return validate.verdicts(b, results).select("doc_id", "unit_id", "status", "rejected_by")
 
 

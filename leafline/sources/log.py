@@ -51,3 +51,11 @@ def compact(spark: SparkSession, path: str, target: str, max_bytes: int | None =
     live = trimmed(replay(read(spark, path)), "seq", "bytes", max_bytes, max_entries)
     append(live.withColumn("t", F.lit("entry")), target)
     return live
+
+
+def rotate_aside(spark: SparkSession, path: str, suffix: str) -> str:
+    """Renames a log that can't be used and gives its new place."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    old, new = hadoop.Path(path), hadoop.Path(f"{path.rstrip('/')}.{suffix}")
+    old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(old, new)
+    return f"{path.rstrip('/')}.{suffix}"

@@ -62,13 +62,44 @@ def test_cache_answers_and_equal_units_are_sent_once(spark, tmp_path):
 def test_gate_hard(docs, monkeypatch):
     from leafline.operators import validate
 
-    monkeypatch.setattr(validate, "verdicts", lambda units, results: units.join(results, ["doc_id", "unit_id"]).select("doc_id", "unit_id", F.lit("translated").alias("status"), F.col("translated").alias("accepted"), F.lit(None).cast("string").alias("rejected_by"), F.lit(None).cast("string").alias("reason")))
+    monkeypatch.setattr(validate, "verdicts", lambda units, results: units.join(results, ["doc_id", "unit_id"]).select("doc_id", "unit_id", F.lit("translated").alias("status"), F.col("translated").alias("accepted"), F.lit(None).cast("string").alias("rejected_by"), F.lit(None).cast("string").alias("reason"), F.col("translated").alias("answer")))
     split = lambda payloads, kinds: [p.replace("para", "p\n\nq") for p in payloads]
     with pytest.raises(engine.GateError):
         engine.run(docs, engine.Options(full_reparse_failure="hard"), split)
     assert texts(engine.run(docs, engine.Options(), split))[1] == TEXT
 
 
+def test_html_is_sent_as_segments(docs):
+    seen = []
+    out = engine.run(docs.where("doc_id = 3"), translator=lambda payloads, kinds: [p.replace("a & b", "x < y") for p in payloads])
+    assert texts(out)[3] == "<p>x &lt; y<p>c"
+    out = engine.run(docs.where("doc_id = 3"), engine.Options(unit_retries=0), lambda payloads, kinds: ['["one", "two"]' for _ in payloads])
+    assert texts(out)[3] == "<p>a &amp; b<p>c" and out["attempts"].first().rejected_by == "per_kind" and not seen
+
+
+def test_gate_finds_structure_and_gaps():
+    from leafline.operators import validate
+
+    assert validate.gate_fault("# a\n\nb", "# a\n\nc", "markdown") is None
+    assert validate.gate_fault("# a\n\nb", "# a\n\n- c", "markdown")[0] == 1
+    assert validate.gate_fault("<p>a</p> <p>b</p>", "<p>a</p>  <p>b</p>", "html")[1] == "bytes between blocks differ"
+    assert validate.gate_fault("<p>a</p>", "<p><b>a</b></p>", "html")[1] == "tags differ"
+    assert validate.definition_change("[a]: http://x\n", "[a]: http://y\n") == "a"
+
+
+def test_prompts_and_answers(spark):
+    from leafline.operators import prompt
+
+    units = spark.createDataFrame([(1, 0, 1, "p-0002", "paragraph", 'say "é"', None, "markdown"), (1, 0, 0, "t-0001.w01", "table", "x", "c", "html")], "doc_id long, batch long, ord int, unit_id string, kind string, payload string, context string, spelling string")
+    got = json.loads(prompt.user_prompt(units, ["doc_id", "batch"], "ord").first().prompt)["units"]
+    assert [u["unit_id"] for u in got] == ["t-0001.w01", "p-0002"] and got[1]["payload"] == 'say "é"' and "context" not in got[1]
+    assert prompt.facts(units, ["doc_id"]).first()[1:] == (True, True)
+    answers = spark.createDataFrame([(1, '{"units":[{"unit_id":"a","translated_payload":"b"}]}'), (2, "no json")], "batch long, text string")
+    assert {(r.batch, r.unit_id, r.translated) for r in prompt.answers(answers, ["batch"], "text").collect()} == {(1, "a", "b"), (2, None, None)}
+    assert prompt.terms(spark.createDataFrame([(1, '{"terms":[{"source":"s","target":"t"}]}')], "batch long, text string"), ["batch"], "text").first().source == "s"
+    assert units.select(prompt.json_body(F.col("payload")).alias("b")).where("b like 'say%'").first().b == 'say \\"é\\"'
+
+
 def test_empty_corpus(spark):
     out = engine.run(spark.createDataFrame([], SCHEMA))
     assert out["document"].count() == out["alignment"].count() == 0
