@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafline.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
-from leafline.llm.common import table, written
+from leafline.llm.common import drop, table, written
 from leafline.llm.queries import VOCABULARY
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -59,7 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            drop(spark, before)
+        before = docs
     return docs

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, new_path, written
+from .common import drop, mapped, new_path, written
 from .heap import Heap, HeapWriter
 
 SALTS = 8
@@ -184,13 +184,16 @@ def dedup(docs: DataFrame, index: str | None = None) -> DataFrame:
     index: folder in the shared folder for the owners' index files, kept for find().
     """
     spark = docs.sparkSession
-    rows = written(spark, _scan(docs, new_path(spark, "heap")), "dedup-rows")
+    heap = new_path(spark, "heap")
+    rows = written(spark, _scan(docs, heap), "dedup-rows")
     entries = rows.where("file is not null")
     owners = max(1, -(-entries.count() // OWNED), int(spark.conf.get("spark.sql.shuffle.partitions")) // SALTS)
     first = written(spark, _owners(entries, owners, SALTS, None), "dedup-salted")
     left = entries.join(first.where("entry = leader").select("entry"), "entry", "left_semi")
-    second = _owners(left, owners, 1, index or new_path(spark, "index"))
+    own = index or new_path(spark, "index")
+    second = _owners(left, owners, 1, own)
     classes = written(spark, first.join(second.select(F.col("entry").alias("leader"), F.col("leader").alias("class")), "leader").select("entry", "class"), "dedup-classes")
+    drop(spark, first, *([] if index else [heap, own]))  # an index that is kept needs its texts
     of_entry = rows.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
     of_class = of_entry.join(classes, "entry").groupBy("class").agg(F.sum("n").alias("group_size"), F.min("first").alias("first"))
     known = classes.join(of_class, "class").select("entry", "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"))

@@ -18,15 +18,16 @@ class HeapWriter:
         self.path = f"{folder}/{task.partitionId() if task else 0}-{task.taskAttemptId() if task else 0}-{uuid.uuid4().hex[:8]}.heap"
         self.out, self.at, self.pack = None, 0, zstandard.ZstdCompressor(level=1).compress
 
-    def put(self, text: bytes) -> tuple[str, int, int]:
-        """The text's file, offset and length there."""
+    def put(self, text: bytes, head: bytes = b"") -> tuple[str, int, int]:
+        """The file, the offset of the head, which is kept as it is, and the length of the text behind it."""
         if self.out is None:
             store, name = fs.FileSystem.from_uri(self.path)
             store.create_dir(name.rpartition("/")[0], recursive=True)
             self.out = store.open_output_stream(name)
-        self.out.write(body := self.pack(text))
-        self.at += len(body)
-        return self.path, self.at - len(body), len(body)
+        body = self.pack(text)
+        self.out.write(head + body)
+        self.at += len(head) + len(body)
+        return self.path, self.at - len(head) - len(body), len(body)
 
     def close(self) -> None:
         if self.out is not None:
@@ -44,13 +45,17 @@ class Heap:
     def read(self, file: str, offset: int, length: int) -> bytes:
         if (found := self.last.get((file, offset))) is not None:
             return found
+        text = self.unpack(self.raw(file, offset, length))
+        if len(self.last) >= 4:
+            self.last.pop(next(iter(self.last)))
+        self.last[file, offset] = text
+        return text
+
+    def raw(self, file: str, offset: int, length: int) -> bytes:
+        """Bytes as they stand."""
         if file not in self.files:
             if len(self.files) >= 64:
                 self.files.pop(next(iter(self.files))).close()
             store, name = fs.FileSystem.from_uri(file)
             self.files[file] = store.open_input_file(name)
-        text = self.unpack(self.files[file].read_at(length, offset))
-        if len(self.last) >= 4:
-            self.last.pop(next(iter(self.last)))
-        self.last[file, offset] = text
-        return text
+        return self.files[file].read_at(length, offset)

@@ -14,8 +14,8 @@ parts has two shingles or more in both; if neither is, both keep all. So no link
 
 Links are sought between distinct sets only (copies are collapsed per scan task, then by class)
 and not as all pairs of a group: each bucket links its members with its smallest member; pairs
-are made distinct, sieved by explicit sketches of 64 * LONGS bits (the Hamming distance is at most the
-symmetric difference) and verified on the whole sets, read from heap files (64-bit hashes of shingles of
+are made distinct, sieved by explicit sketches of 64 * LONGS bits and then of four bits a shingle (the
+Hamming distance is at most the symmetric difference) and verified on the whole sets, read from heap files (64-bit hashes of shingles of
 64-bit hashes of words). Where a bucket's members are
 still in several components, another member meets the rest, TURNS times; at last all members of
 different components meet, sieved inside that join. That leaves every two linked
@@ -30,7 +30,7 @@ the input are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, new_path, written
+from .common import drop, mapped, new_path, written
 from .heap import Heap, HeapWriter
 
 #: Longs of the explicit parity sketch that pairs are sieved by: 64 bits each.
@@ -143,6 +143,26 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at.astype(np.int64), minlength=64 * LONGS) & 1).astype(np.uint8)).view(np.int64)
 
 
+def wide_bits(size: int) -> int:
+    """Bits of a set's wide sketch: four a shingle or more, so that it doesn't fill up."""
+    return 64 << max(0, (size - 1) // 16).bit_length()
+
+
+def wide_sketch(shingles: np.ndarray) -> np.ndarray:
+    """The parity sketch of wide_bits() bits, as bytes; one of half the bits is the XOR of its halves."""
+    bits = wide_bits(len(shingles))
+    at = _mix(shingles ^ _ODD[3]) & np.uint64(bits - 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little")
+
+
+def wide_near(a: np.ndarray, b: np.ndarray, sizes: int, percent: int) -> bool:
+    """Whether two wide sketches leave a link possible; sizes: the sum of both sets' sizes."""
+    if len(a) != len(b):
+        a, b = (a, b) if len(a) < len(b) else (b, a)
+        b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count((a ^ b).view(np.uint64)).sum()) * (100 + percent) <= (100 - percent) * sizes
+
+
 def near(percent: int) -> Column:
     """Whether nodes a and b can be linked by their sizes and sketches: each bit that differs is a shingle that differs."""
     apart = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(1, LONGS)), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
@@ -187,7 +207,7 @@ def _scan(docs: DataFrame, n: int, percent: int, folder: str) -> DataFrame:
                 out["text_sha256"].append(hashlib.sha256(text).hexdigest())
                 out["keys"].append(bands.keys(s) if first else None)
                 out["sketch"].append(sketch(s) if first else None)
-                for k, v in zip(("file", "at", "length"), heap.put(lower) if first else (None,) * 3, strict=True):
+                for k, v in zip(("file", "at", "length"), heap.put(lower, wide_sketch(s).tobytes()) if first else (None,) * 3, strict=True):
                     out[k].append(v)
             return out | {"doc_id": batch.column("doc_id")}
 
@@ -200,21 +220,29 @@ def _scan(docs: DataFrame, n: int, percent: int, folder: str) -> DataFrame:
 def _verified(pairs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose exact shingle sets are linked. Sizes and sketches sieve, then the words from the heap files decide."""
     end = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in nodes.columns if c not in ("node", "check")])
-    full = pairs.join(end("a"), "a").join(end("b"), "b").where(near(percent)).select("a", "b", *[f"{x}_{c}" for x in "ab" for c in ("file", "at", "length")])
+    full = pairs.join(end("a"), "a").join(end("b"), "b").where(near(percent)).select("a", "b", *[f"{x}_{c}" for x in "ab" for c in ("n", "file", "at", "length")])
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def make():
-        heap, last, hashed = Heap(), {}, Shingler(n)
+        heap, hashed, wide, sets = Heap(), Shingler(n), {}, {}
 
-        def shingles(file: str, at: int, length: int) -> np.ndarray:
-            if (found := last.get((file, at))) is None:
-                if len(last) >= 8:
-                    last.pop(next(iter(last)))
-                found = last[file, at] = hashed(heap.read(file, at, length))
+        def kept(known: dict, key: tuple, make_it):
+            if (found := known.get(key)) is None:
+                if len(known) >= 8:
+                    known.pop(next(iter(known)))
+                found = known[key] = make_it()
             return found
 
+        def bits(r: dict, x: str) -> np.ndarray:
+            place = r[f"{x}_file"], r[f"{x}_at"]
+            return kept(wide, place, lambda: np.frombuffer(heap.raw(*place, wide_bits(r[f"{x}_n"]) // 8), np.uint8))
+
+        def shingles(r: dict, x: str) -> np.ndarray:
+            file, at = r[f"{x}_file"], r[f"{x}_at"]
+            return kept(sets, (file, at), lambda: hashed(heap.read(file, at + wide_bits(r[f"{x}_n"]) // 8, r[f"{x}_length"])))
+
         def step(batch: pa.RecordBatch) -> dict:
-            rows = [r for r in batch.to_pylist() if linked(shingles(r["a_file"], r["a_at"], r["a_length"]), shingles(r["b_file"], r["b_at"], r["b_length"]), percent)]
+            rows = [r for r in batch.to_pylist() if wide_near(bits(r, "a"), bits(r, "b"), r["a_n"] + r["b_n"], percent) and linked(shingles(r, "a"), shingles(r, "b"), percent)]
             return {"a": [r["a"] for r in rows], "b": [r["b"] for r in rows]}
 
         return step
@@ -240,12 +268,16 @@ def components(edges: DataFrame) -> DataFrame:
         while True:
             above = up.select(F.col("a").alias("p"), F.col("p").alias("q"))
             jumped = written(spark, up.join(above, "p", "left").select("a", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")), "parents")
-            up = jumped.select("a", "p")
+            drop(spark, up)
+            up = jumped
             if jumped.where("moved").isEmpty():
                 break
-        root = lambda df, c: df.join(up.select(F.col("a").alias(c), F.col("p").alias("_p")), c, "left").withColumn(c, F.coalesce("_p", c)).drop("_p")
+        root = lambda df, c: df.join(up.select(F.col("a").alias(c), F.col("p").alias("_p")), c, "left").withColumn(c, F.coalesce("_p", c)).drop("_p")  # noqa: B023, E731
+        old = edges, labels, up
         labels = written(spark, root(labels, "root").select("node", "root"), "labels")
         edges = written(spark, order(root(root(edges, "a"), "b")), "edges")
+        drop(spark, *old)
+    drop(spark, edges)
     return labels
 
 
@@ -256,7 +288,8 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     100 * intersection >= percent * union, itself included.
     """
     spark = docs.sparkSession
-    rows = written(spark, _scan(docs, n, percent, new_path(spark, "ngram-heap")), "ngram-rows")
+    heap = new_path(spark, "ngram-heap")
+    rows = written(spark, _scan(docs, n, percent, heap), "ngram-rows")
     entries = rows.where("file is not null")
     # one node for each set; should two sets share the 64 bits of a node, the one with the smaller check is the node
     nodes = entries.groupBy("node").agg(F.min(F.struct("check", "row", "n_shingles", "file", "at", "length", "sketch")).alias("x"))
@@ -265,10 +298,11 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     least = F.min("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
     keyed = entries.where("size(keys) > 0").select("node", F.explode("keys").alias("key"))
     star = written(spark, keyed.withColumn("rep", least).where("node <> rep").distinct(), "star")
-    found = written(spark, _verified(star.select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct(), nodes, n, percent), "links")
-    roots = components(found)
+    links = [written(spark, _verified(star.select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct(), nodes, n, percent), "links")]
+    roots = components(links[0])
     of = lambda df, c, to: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
     members = written(spark, star.select("key", "node").union(star.select("key", F.col("rep").alias("node"))).distinct(), "members")
+    drop(spark, star)
     for turn in range(TURNS + 1):
         # only buckets whose members are in several components can still hold a link that matters
         inside = written(spark, of(members, "node", "root"), "inside")
@@ -283,14 +317,19 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
             end = lambda x: full.select(F.col("key").alias(f"{x}_key"), F.col("node").alias(x), F.col("root").alias(f"{x}_root"), *[F.col(c).alias(f"{x}_{c}") for c in ("n", *[f"s{i}" for i in range(LONGS)])])  # noqa: B023, E731
             more = end("a").join(end("b"), F.expr("a_key = b_key and a < b and a_root <> b_root") & near(percent)).select("a", "b").distinct()
         late = written(spark, _verified(more, nodes, n, percent), "links")
+        links.append(late)
         if not late.isEmpty():
-            found = found.union(late)
-            roots = components(found)
+            drop(spark, roots)
+            roots = components(reduce(DataFrame.union, links))
+        drop(spark, inside)
     # smallest doc_id by entry, by class, by component; entries are at most as hot as a scan task
     of_entry = rows.where("node is not null").groupBy("entry", "node", "check").agg(F.min("doc_id").alias("least"))
     real = of_entry.join(nodes.select("node", F.col("check").alias("node_check")), "node")
     placed = of(real, "node", "root").select("entry", "least", "root", F.when(F.col("check") == F.col("node_check"), 0).otherwise(F.col("check")).alias("odd"))
     placed = written(spark, placed, "placed")
+    narrow = written(spark, rows.select("doc_id", "entry", "n_shingles", "node", "text_sha256"), "ngram-narrow")
+    drop(spark, rows, heap, nodes, members, roots, *links)  # what follows reads the two tables above only
+    rows = narrow
     named = placed.groupBy("root", "odd").agg(F.min("least").alias("component_id"))
     known = placed.join(named, ["root", "odd"]).select("entry", "component_id")
     return rows.join(known, "entry", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_sha256")

@@ -516,3 +516,15 @@ def test_every_query_is_registered(spark):
 
     assert {f"op{n}_" for n in range(1, 11)} <= {re.match(r"op\d+_", q)[0] for q in e.queries() if q.startswith("op")}
     assert "pipeline" in e.queries()
+
+
+def test_wide_sketches_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for size in (1, 5, 16, 17, 100, 900, 5000):
+        for other in (size, size + size // 4 + 1):
+            a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[size // 9 :], rng.integers(0, 2**63, other - size + size // 9, dtype=np.uint64)]))
+            x, y = ngram_join.wide_sketch(a), ngram_join.wide_sketch(b)
+            assert len(x) * 8 == ngram_join.wide_bits(len(a)) >= 4 * len(a)
+            differ = len(np.setxor1d(a, b))
+            assert ngram_join.wide_near(x, y, len(a) + len(b), 80) or differ * 180 > 20 * (len(a) + len(b))
