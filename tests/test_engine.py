@@ -126,6 +126,19 @@ def test_row_windows(spark):
     assert sum(r.payload.count("row") for r in windows) == 30
 
 
+def test_oversize_tables_go_in_windows_and_come_back_whole(spark):
+    table = "| h |\n|---|\n" + "".join(f"| row {i} |\n" for i in range(30))
+    docs = spark.createDataFrame([(1, "# t\n\n" + table + "\nend\n", "markdown")], SCHEMA)
+    sizes = []
+    out = engine.run(docs, engine.Options(output_tokens=160, unit_retries=0), lambda payloads, kinds: [p.replace("row", "Zeile") for p in payloads])
+    assert texts(out)[1] == "# t\n\n" + table.replace("row", "Zeile") + "\nend\n"
+    assert out["attempts"].where("unit_id like 't-0002.w%'").count() > 1 and not sizes
+    lose = lambda payloads, kinds: ["| broken" if "row 29" in p else p.replace("row", "Zeile") for p in payloads]
+    out = engine.run(docs, engine.Options(output_tokens=160, unit_retries=0), lose)
+    assert "Zeile 0" in texts(out)[1] and "row 29" in texts(out)[1]
+    assert out["alignment"].where("source_block_id = 't-0002'").first().fallback_status == "partially_translated"
+
+
 def test_sections_share_batches():
     assert packing.pack_sections([[1, 1], [1], [9, 9, 9], [], [1]], 10, 3) == [[(0, 0), (0, 1), (1, 0)], [(2, 0)], [(2, 1)], [(2, 2)], [(4, 0)]]
 
