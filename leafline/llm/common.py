@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,6 +14,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = getattr(spark.sparkContext, "_leafline_dir", None)
         if folder is None:
             made = tempfile.mkdtemp(prefix="leafline-")
@@ -38,6 +42,11 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/leafline/{tag}-{uuid.uuid4().hex}"
 
 
+def store_of(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path in the shared folder, and the path there."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 def written(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts the lineage, and lost executors cost nothing that was written."""
     path = new_path(spark, tag)

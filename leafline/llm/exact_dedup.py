@@ -28,12 +28,11 @@ import hashlib
 import struct
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, mapped, new_path, written
+from .common import drop, mapped, new_path, store_of, written
 from .heap import Heap, HeapWriter
 
 SALTS = 8
@@ -100,7 +99,7 @@ class ExtendibleIndex:
 
 def find(path: str, key: int) -> list[tuple[str, int, int, int]]:
     """(heap file, offset, length, entry) of the key's texts in an index file, by range reads."""
-    store, name = fs.FileSystem.from_uri(path)
+    store, name = store_of(path)
     with store.open_input_file(name) as f:
         table, names, depth, n_names, _ = FOOTER.unpack(f.read_at(FOOTER.size, f.size() - FOOTER.size))
         files = f.read_at(n_names, names).decode().split("\n")
@@ -150,7 +149,7 @@ def _owners(entries: DataFrame, owners: int, salts: int, index: str | None) -> D
         def step(batch: pa.RecordBatch | None) -> dict | None:
             if batch is None:
                 if index is not None:
-                    store, name = fs.FileSystem.from_uri(f"{index}/{task.partitionId()}-{task.taskAttemptId()}.index")
+                    store, name = store_of(f"{index}/{task.partitionId()}-{task.taskAttemptId()}.index")
                     store.create_dir(name.rpartition("/")[0], recursive=True)
                     with store.open_output_stream(name) as out:
                         tree.dump(out)

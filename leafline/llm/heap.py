@@ -6,9 +6,10 @@ import uuid
 
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark import TaskContext
 
+from .common import store_of
+
 
 class HeapWriter:
     """Appends texts to a file of its own; the name holds the attempt, so that a task run twice never writes into a file in use."""
@@ -21,7 +22,7 @@ class HeapWriter:
     def put(self, text: bytes, head: bytes = b"") -> tuple[str, int, int]:
         """The file, the offset of the head, which is kept as it is, and the length of the text behind it."""
         if self.out is None:
-            store, name = fs.FileSystem.from_uri(self.path)
+            store, name = store_of(self.path)
             store.create_dir(name.rpartition("/")[0], recursive=True)
             self.out = store.open_output_stream(name)
         body = self.pack(text)
@@ -56,6 +57,6 @@ class Heap:
         if file not in self.files:
             if len(self.files) >= 64:
                 self.files.pop(next(iter(self.files))).close()
-            store, name = fs.FileSystem.from_uri(file)
+            store, name = store_of(file)
             self.files[file] = store.open_input_file(name)
         return self.files[file].read_at(length, offset)

@@ -23,12 +23,11 @@ import uuid
 import zlib
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, new_path, written
+from .common import mapped, new_path, store_of, written
 
 #: Bytes after which a task begins a new archive, and records of one range read.
 ROLL, CHUNK = 256 << 20, 400
@@ -146,7 +145,7 @@ class ArchiveWriter:
     def __init__(self, folder: str) -> None:
         task = TaskContext.get()
         self.path = f"{folder}/{task.partitionId() if task else 0}-{task.taskAttemptId() if task else 0}-{uuid.uuid4().hex[:8]}.wacz"
-        store, name = fs.FileSystem.from_uri(self.path)
+        store, name = store_of(self.path)
         store.create_dir(name.rpartition("/")[0], recursive=True)
         self.out = store.open_output_stream(name)
         self.zip, self.at, self.lines = ZipWriter(self.out), 0, []
@@ -217,7 +216,7 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
         def step(batch: pa.RecordBatch) -> dict:
             out: dict = {"archive": [], "base": [], "offsets": [], "lengths": []}
             for archive in batch.column("archive").to_pylist():
-                store, name = fs.FileSystem.from_uri(archive)
+                store, name = store_of(archive)
                 with store.open_input_file(name) as f:
                     places = members(f, f.size())
                     at, length = places[INDEX]
@@ -234,7 +233,7 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
         def step(batch: pa.RecordBatch) -> dict:
             out: list[dict] = []
             for row in batch.to_pylist():
-                store, name = fs.FileSystem.from_uri(row["archive"])
+                store, name = store_of(row["archive"])
                 with store.open_input_file(name) as f:
                     start, end = row["offsets"][0], row["offsets"][-1] + row["lengths"][-1]
                     block = f.read_at(end - start, row["base"] + start)
