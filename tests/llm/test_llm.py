@@ -528,3 +528,35 @@ def test_wide_sketches_bound_the_difference():
             assert len(x) * 8 == ngram_join.wide_bits(len(a)) >= 4 * len(a)
             differ = len(np.setxor1d(a, b))
             assert ngram_join.wide_near(x, y, len(a) + len(b), 80) or differ * 180 > 20 * (len(a) + len(b))
+
+
+def test_odd_rows_of_bpe_and_fingerprints(odd, none, clash):
+    for df in (odd, clash):
+        assert bpe.encode(df, RANKS, public_tokenizers.PATTERN, with_ids=False).count() == len(ODD)
+        got = winnow.compare(df).collect()
+        assert len(got) == len(ODD)
+        order = sorted(((i, t or "") for i, t, *_ in ODD), key=lambda r: (r[0] is None, -(r[0] or 0)))
+        assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((i, len(t)) for i, t in order)
+        # where doc_ids are not repeated the follower is fixed
+        by_id = {r.doc_id: r for r in got}
+        for a, b in (((8, "a b c d e f g"), "x" * 3000), ((7, "x" * 3000), "word " * 3000), ((6, "word " * 3000), "é日本 naïve 🙂 x" * 3), ((3, ""), "")):
+            edited = a[1][: len(a[1]) - len(a[1]) // 3] + b[: len(a[1]) // 3]
+            assert by_id[a[0]].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+    assert bpe.encode(none, RANKS, public_tokenizers.PATTERN).count() == winnow.compare(none).count() == winnow.fingerprints(none).count() == 0
+    assert [len(r.hashes) for r in winnow.fingerprints(odd).where("doc_id = 3").collect()] == [0]
+
+
+def test_sources_without_words_and_one_hot_source(spark):
+    docs = spark.createDataFrame([(i, "w " * (i % 7), "en", "hot" if i % 3 else "b", 0) for i in range(600)] + [(700, None, "en", "void", 0)], SCHEMA)
+    plan = mixing.plan(docs).collect()
+    assert {r.taken for r in plan if r.doc_id == 700} == {0}
+    assert abs(sum(r.taken for r in plan) - sum(r.size for r in plan)) <= 3
+
+
+def test_one_group_holds_a_third_of_all_rows(spark):
+    texts = ["the very same text of many words for all of these rows"] * 200 + [f"other text number {i} " + " ".join(f"v{i}x{j}" for j in range(20)) for i in range(400)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA).repartition(6)
+    assert {(r.keep_id, r.group_size) for r in exact_dedup.dedup(docs).where("doc_id < 200").collect()} == {(0, 200)}
+    assert {r.component_id for r in ngram_join.join(docs, 4, 85).where("doc_id < 200").collect()} == {0}
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    assert exact_dedup.kept(docs, columns).count() == ngram_join.kept(docs, columns).count() == 401
