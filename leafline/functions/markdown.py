@@ -302,6 +302,8 @@ def document(text: str) -> Document:
         if node.kind == "list":
             for k, item in enumerate(node.children):
                 add("list-item", item, [i, k], ordered=node.ordered, task=item.task)
+                if not item.children:
+                    doc.warnings.append(f"markdown: list item at byte {doc.blocks[-1].start} is empty")
         elif node.kind == "heading":
             add(f"heading-{node.level}", node, [i])
         elif node.kind == "paragraph":

@@ -94,6 +94,11 @@ def test_markdown_places_are_bytes_and_all_line_ends_count():
     assert [(b.start, b.end) for b in d.blocks] == [(0, 2), (6, 9), (10, 11)]
 
 
+def test_empty_list_items_warn():
+    d = markdown.document("- a\n-\n- b\n")
+    assert [b.kind for b in d.blocks] == ["list-item"] * 3 and len(d.warnings) == 1
+
+
 def test_fragment_facts():
     assert markdown.table_facts("|a|b|\n|-|:-:|\n|1|2|\n") == (2, ["none", "center"], 1)
     assert markdown.quote_children("> # h\n> p\n>\n> - x") == ["heading-1", "paragraph", "bullet-list"]
