@@ -347,6 +347,12 @@ def segments(text: str) -> list[tuple[str, str]]:
     return [(s[2], s[3]) for s in kept_texts(_shallow(text))]
 
 
+def segments_and_tags(text: str) -> tuple[list[str], list[str]]:
+    """Texts of the segments and names of the tags, from one pass; raises TooDeep."""
+    p = _shallow(text)
+    return [s[2] for s in kept_texts(p)], [("/" if t.kind == "close" else "") + t.name for t in p.tags if t.kind != "skip"]
+
+
 def splice(text: str, translated: Sequence[str], collapse: bool = False) -> str:
     """The block with its segments replaced, all other bytes as they are; an unchanged segment keeps its bytes."""
     p = _shallow(text)
