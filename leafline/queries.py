@@ -584,6 +584,56 @@ def merge_extracted(spark, sf_dir):
     return glossary.merge_extracted(static, new).select("idx", "state")
 
 
+# The same over the whole table: profiles of 400 entries and documents of 120 extracted terms, however many there are.
+
+
+def _all_entries(spark, sf_dir) -> DataFrame:
+    c = F.col("c_custkey")
+    name = F.concat_ws(".", F.floor(c / 400).cast("string"), (c % 60).cast("string"))
+    return table(spark, sf_dir, "customer").select(
+        c.cast("int").alias("idx"), F.concat(F.when(c % 2 == 0, " Term").otherwise("tERM"), name).alias("source"), F.when(c % 13 == 0, " ").otherwise(F.concat(F.lit("z"), c.cast("string"))).alias("target"),
+        F.lit(None).cast("string").alias("note"), F.when(c % 3 == 0, "section").otherwise("global").alias("scope"), F.array(F.concat(F.lit("Sec "), (c % 4).cast("string"))).alias("sections"),
+    )
+
+
+_ALL_ENTRIES = """
+with e as (select cast(c_custkey as int) as idx, 'term' || c_custkey // 400 || '.' || c_custkey % 60 as key, c_custkey % 13 = 0 as bad, case when c_custkey % 3 = 0 then 'section' else 'global' end as scope, 'sec ' || c_custkey % 4 as sec from customer),
+     k as (select *, row_number() over (partition by key, scope, case when scope = 'section' then sec end order by idx) as n from e where not bad)
+"""
+
+
+@query("G1_G2_G20_normalise_whole", _ALL_ENTRIES + "select idx, key, scope from k where n = 1")
+def normalise_whole(spark, sf_dir):
+    return glossary.normalise(glossary.with_keys(_all_entries(spark, sf_dir))).select("idx", "key", "scope")
+
+
+@query("G3_G4_effective_whole", _ALL_ENTRIES + """
+, s(section, path) as (values (1, ['sec 0', 'sec 3']), (2, ['sec 1']), (3, [])), f as (select idx, key, scope, sec from k where n = 1),
+  m as (select section, f.*, min(case when scope = 'section' then idx end) over (partition by section, key) as winner from s join f on scope = 'global' or list_contains(path, sec))
+select section, idx from m where winner is null or winner = idx
+""")
+def effective_whole(spark, sf_dir):
+    kept = glossary.normalise(glossary.with_keys(_all_entries(spark, sf_dir)))
+    stacks = spark.createDataFrame([(1, ["sec 0", "sec 3"]), (2, ["sec 1"]), (3, [])], "section int, stack_keys array<string>")
+    return glossary.effective(stacks, kept)
+
+
+@query("G5_G6_merge_extracted_whole", _ALL_ENTRIES + """
+, x as (select cast(c_custkey as int) as idx, c_custkey // 120 as doc, 'term' || c_custkey // 400 || '.' || (c_custkey * 7 % 90) as key, c_custkey % 17 = 0 as bad from customer),
+  y as (select *, case when bad then 'invalid' when key in (select key from k where n = 1 and scope = 'global') then 'conflict' end as st from x),
+  z as (select *, row_number() over (partition by doc, key, st is null order by idx) as r from y),
+  w as (select *, coalesce(st, case when r > 1 then 'invalid' end) as st2 from z),
+  v as (select *, row_number() over (partition by doc, st2 is null order by idx) as p from w)
+select idx, coalesce(st2, case when p > 24 then 'invalid' else 'accepted' end) as state from v
+""")
+def merge_extracted_whole(spark, sf_dir):
+    static = glossary.normalise(glossary.with_keys(_all_entries(spark, sf_dir)))
+    c = F.col("c_custkey")
+    name = F.concat_ws(".", F.floor(c / 400).cast("string"), (c * 7 % 90).cast("string"))
+    new = table(spark, sf_dir, "customer").select(c.cast("int").alias("idx"), F.floor(c / 120).alias("doc_id"), F.concat(F.lit("Term"), name).alias("source"), F.when(c % 17 == 0, " ").otherwise("t").alias("target"), F.concat(F.lit("term"), name).alias("key"))
+    return glossary.merge_extracted(static, new, document="doc_id").select("idx", "state")
+
+
 @query("G23_template_variables", "select conv_id, turn, case when role = 'user' then 'user' || '_x' else role || '_x' end as unknown from conversations")
 def template_variables(spark, sf_dir):
     t = table(spark, sf_dir, "conversations")

@@ -30,3 +30,10 @@ def test_entry_points(spark):
 def test_detector_is_right_for_nearly_all_documents(spark, sf):
     d = QUERIES["L6_detect"](spark, sf)
     assert d.where("lang = detected").count() >= 0.97 * d.count()
+
+
+def test_glossary_reads_the_whole_table(spark, sf):
+    states = QUERIES["G5_G6_merge_extracted_whole"](spark, sf).collect()
+    customers = {r.c_custkey for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect()}
+    assert {r.idx for r in states} == customers and {r.state for r in states} == {"accepted", "conflict", "invalid"}
+    assert max(r.idx for r in QUERIES["G1_G2_G20_normalise_whole"](spark, sf).collect()) > 400
