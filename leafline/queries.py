@@ -656,6 +656,18 @@ def readings(spark, sf_dir):
     return t.select("doc_id", F.when(m == 0, F.concat(F.lit("Привет мир "), F.substring(x, 1, 5))).when(m == 1, "Привіт світ є").when(m == 2, "123 !").otherwise(x).alias("x")).select("doc_id", language.reading(F.col("x"), "cyrillic").alias("reading"))
 
 
+@query("L1_L2_gate_whole", """
+with u as (select doc_id, case when prefixed then 'Привет мир ' else '' end || coalesce(text, '') as x, prefixed from documents, (values (false), (true)) p(prefixed))
+select doc_id, prefixed, case when not regexp_matches(x, '\\p{L}') then 'no_letters' when regexp_matches(x, '[іІєЄїЇґҐ]') then 'foreign' when len(regexp_extract_all(x, '[А-яЁё]')) = 0 then 'absent'
+  when len(regexp_extract_all(x, '[А-яЁё]')) * 5 >= len(regexp_extract_all(x, '\\p{L}')) then 'dominant' else 'minority' end as reading from u
+""")
+def readings_whole(spark, sf_dir):
+    # every document's whole text, as it is and behind words in Cyrillic
+    t = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("x"), F.explode(F.array(F.lit(False), F.lit(True))).alias("prefixed"))
+    x = F.when(F.col("prefixed"), F.concat(F.lit("Привет мир "), F.col("x"))).otherwise(F.col("x"))
+    return t.select("doc_id", "prefixed", language.reading(x, "cyrillic").alias("reading"))
+
+
 @query("L6_detect")
 def detect(spark, sf_dir):
     d = table(spark, sf_dir, "documents")

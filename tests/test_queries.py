@@ -37,3 +37,19 @@ def test_glossary_reads_the_whole_table(spark, sf):
     customers = {r.c_custkey for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect()}
     assert {r.idx for r in states} == customers and {r.state for r in states} == {"accepted", "conflict", "invalid"}
     assert max(r.idx for r in QUERIES["G1_G2_G20_normalise_whole"](spark, sf).collect()) > 400
+
+
+def test_gate_reads_every_text_whole(spark, sf):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {(r.doc_id, r.prefixed): r.reading for r in QUERIES["L1_L2_gate_whole"](spark, sf).collect()}
+    assert len(got) == 2 * len(docs)
+    latin = [d for d, t in docs.items() if t.isascii() and sum(map(str.isalpha, t)) > 100]
+    assert latin and {got[d, True] for d in latin} == {"minority"} and {got[d, False] for d in latin} == {"absent"}
+
+
+@pytest.mark.parametrize("text, reading", [("Привет мир abcde", "dominant"), ("Привіт світ є", "foreign"), ("123 !", "no_letters")])
+def test_gate_constants(spark, text, reading):
+    from leafline.operators import language
+
+    df = spark.createDataFrame([(text,)], "x string")
+    assert df.select(language.reading(df.x, "cyrillic")).first()[0] == reading
