@@ -497,6 +497,24 @@ def skipped_lines(spark, sf_dir):
     return log.skipped(_log(spark, sf_dir))
 
 
+def _whole_log(spark, sf_dir) -> DataFrame:
+    """The same log with whole texts as values; torn lines are as before."""
+    t = table(spark, sf_dir, "conversations")
+    seq = F.col("conv_id") * 1000 + F.col("turn")
+    line = F.to_json(F.struct(F.when(F.col("turn") % 5 == 4, "evict").otherwise("entry").alias("t"), (F.col("conv_id") % 50).cast("string").alias("key"), seq.alias("seq"), F.col("text").alias("value"), F.lit("translated").alias("status")))
+    return t.select(F.when(F.col("turn") % 7 == 6, F.substring(line, 1, 12)).otherwise(line).alias("value"))
+
+
+@query("S5_S6_replay_whole", "with l as (select cast(conv_id % 50 as varchar) as key, conv_id * 1000 + turn as seq, text as value, turn % 5 = 4 as evict from conversations where turn % 7 <> 6), k as (select *, row_number() over (partition by key order by seq desc) as n from l) select key, seq, value from k where n = 1 and not evict")
+def replay_whole(spark, sf_dir):
+    return log.replay(_whole_log(spark, sf_dir)).select("key", "seq", "value")
+
+
+@query("S17_skipped_lines_whole", "select count(*) as skipped from conversations where turn % 7 = 6")
+def skipped_lines_whole(spark, sf_dir):
+    return log.skipped(_whole_log(spark, sf_dir))
+
+
 @query("S8_trim", "with t as (select conv_id * 1000 + turn as seq, octet_length(encode(text)) as n from conversations), r as (select *, sum(n) over (order by seq desc) as b, row_number() over (order by seq desc) as c from t) select seq from r where b + 100 <= 9000 and c <= 80")
 def trim(spark, sf_dir):
     t = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.octet_length("text").cast("long").alias("n"))

@@ -39,6 +39,12 @@ def test_glossary_reads_the_whole_table(spark, sf):
     assert max(r.idx for r in QUERIES["G1_G2_G20_normalise_whole"](spark, sf).collect()) > 400
 
 
+def test_replay_gives_whole_values(spark, sf):
+    whole = {r.conv_id * 1000 + r.turn: r.text for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    got = QUERIES["S5_S6_replay_whole"](spark, sf).collect()
+    assert got and all(r.value == whole[r.seq] for r in got) and any(len(r.value) > 20 for r in got)
+
+
 def test_gate_reads_every_text_whole(spark, sf):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = {(r.doc_id, r.prefixed): r.reading for r in QUERIES["L1_L2_gate_whole"](spark, sf).collect()}
