@@ -1,14 +1,15 @@
 """License scans by conditional compression.
 
-A document's candidate blocks are its lines that hold a word of licensing, cut around that word if
+A document's candidate blocks are its lines that hold a word of licensing, cut around those words if
 they are long. Each block is compressed by zstandard alone and with each template as raw
-dictionary; the templates are ranked by how much smaller the block becomes. The best are confirmed by
-exact wording: the block's words are aligned with the template's, and the words missing, added or
-changed are reported. A block is `exact` if a run of the template's words is the block, `modified` if most words
-agree and none of the template's naming words (name, version) differs, else no license.
-
-Cases: null or empty texts have no blocks. Overlapping windows of one line become one block. Ties of size reduction go to the template
-whose wording agrees better, then to the first by name. Repeated rows are scanned alike; an empty table gives an empty
+dictionary; templates that make it no smaller are out. The others are confirmed by exact wording: the block's words
+are aligned with the template's, and of the alignment the densest run is the notice, so that prose around it doesn't
+count. A run must hold most words of one of the template's sentences with all of its naming words (name, version), or most
+of the block; no naming word may be added in it or follow it. It is `exact` if it is a run of the template's words, else
+`modified`. What is left of a block before and after a notice is searched again; a block without one, by sentences.
+
+Cases: null or empty texts have no blocks. Overlapping windows of one line become one block. Of several templates the one
+with the longest run is named, then that with the larger size reduction, then the first by name. Years and holders name nothing. Repeated rows are scanned alike; an empty table gives an empty
 table; other columns are ignored. Spans are in code points of the text, the end exclusive.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import mapped, texts
 
-LONGEST, AROUND, BEST, AGREE = 1200, 500, 3, 0.6
+LONGEST, AROUND, AGREE, LEAST = 1200, 500, 0.6, 4
 ANCHOR = re.compile(r"licen[cs]|copyright|rights reserved|creative commons|cc by|cc0|spdx|public domain|as is|warrant", re.I)
 WORD = re.compile(r"[\w.+-]*\w")
 #: The usual notices of common licenses.
@@ -45,21 +46,35 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose.",
 }
+#: Identifiers of SPDX beside the templates' names.
+TEMPLATES = {n: t if n == "All-Rights-Reserved" else " ".join([t, *(f"SPDX-License-Identifier: {i}." for i in [n, *([f"{n}-only", f"{n}-or-later"] if "GPL" in n else [])])]) for n, t in TEMPLATES.items()}
 #: Words that tell one license from another; a block must not differ in them.
-NAMING = re.compile(r"^(?:affero|agpl|apache|bsd|by|by-nc|by-sa|cc|cc0|gpl|isc|lesser|lgpl|mit|mozilla|mpl|noncommercial|sharealike|attribution\S*|v?[0-9][\w.]*)$")
+NAMING = re.compile(r"^(?:affero|[al]?gpl(?:[v\d.-].*)?|apache(?:-.*)?|bsd(?:-.*)?|by|by-nc|by-nd|by-sa|by-nc-.*|cc|cc-.*|cc0.*|isc|lesser|mit|mozilla|mpl(?:-.*)?|unlicense|noncommercial|noderivatives|sharealike|attribution\S*)$")
+#: A number is a version, and so names a license, after one of these words; years are none.
+NUMBER, VERSIONED, YEAR = re.compile(r"^v?[0-9][\w.+-]*$"), re.compile(r"^(?:v|version|versions|licen[cs]e|international|generic|unported|public|zero)$"), re.compile(r"^(?:19|20)\d\d(?:-(?:19|20)?\d\d)?$")
+SENTENCE = re.compile(r"(?<=[.!?;])\s+(?=[^\sa-z0-9])")
+
+
+def names(words: list[str], i: int) -> bool:
+    """Whether word i tells one license from another."""
+    if NUMBER.match(words[i]):
+        return not YEAR.match(words[i]) and (words[i][0] == "v" or i > 0 and bool(VERSIONED.match(words[i - 1]) or NAMING.match(words[i - 1])))
+    return bool(NAMING.match(words[i]))
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
     """(start, end) of the candidate blocks."""
     out: list[tuple[int, int]] = []
+    line_start, line_end = 0, 0
     for m in ANCHOR.finditer(text):
-        if out and m.start() < out[-1][1]:
-            continue
-        start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
-        end = len(text) if end < 0 else end
+        if m.start() >= line_end:
+            line_start, line_end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+            line_end = len(text) if line_end < 0 else line_end
+        start, end = line_start, line_end
         if end - start > LONGEST:
             start, end = max(start, m.start() - AROUND), min(end, m.end() + AROUND)
-        start = max(start, out[-1][1]) if out else start
+        if out and start < out[-1][1]:
+            start = out.pop()[0]
         while start < end and text[start].isspace():
             start += 1
         while end > start and text[end - 1].isspace():
@@ -69,13 +84,24 @@ def blocks(text: str) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    """Compresses blocks with each template as dictionary."""
+    """Compresses blocks with each template as dictionary and aligns their words with the template's."""
 
     def __init__(self, templates: dict[str, str]) -> None:
         options = {"level": 3, "write_content_size": False, "write_checksum": False}
         self.alone = zstandard.ZstdCompressor(**options)
         self.words = {n: WORD.findall(t.lower()) for n, t in templates.items()}
         self.known = {n: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **options) for n, t in templates.items()}
+        self.reach = max([LONGEST, *(2 * len(t) for t in templates.values())])
+        self.aligned, self.sentences = {}, {}
+        for n, t in templates.items():
+            self.aligned[n] = SequenceMatcher(None, autojunk=False)
+            self.aligned[n].set_seq2(self.words[n])  # what it knows of the template is kept
+            at, self.sentences[n] = 0, []
+            for sentence in SENTENCE.split(t):  # (first word, end, naming words)
+                end = at + len(WORD.findall(sentence.lower()))
+                self.sentences[n].append((at, end, {i for i in range(at, end) if names(self.words[n], i)}))
+                at = end
+        self.naming = {n: set().union(*(naming for *_, naming in s)) for n, s in self.sentences.items()}
 
     def reductions(self, block: str) -> list[tuple[float, str]]:
         """(reduction, template), the largest first."""
@@ -83,28 +109,80 @@ class Scanner:
         plain = len(self.alone.compress(raw))
         return sorted(((1 - len(c.compress(raw)) / plain, n) for n, c in self.known.items()), key=lambda r: (-r[0], r[1]))
 
-    def differences(self, block: str, name: str) -> tuple[float, list[str], list[str]]:
-        """Share of the block's words that the template has in this order; words added to and missing from the template's run."""
-        own, theirs = WORD.findall(block.lower()), self.words[name]
-        matches = [m for m in SequenceMatcher(None, theirs, own, autojunk=False).get_matching_blocks() if m.size]
-        if not matches:
-            return 0.0, own, []
-        run = range(matches[0].a, matches[-1].a + matches[-1].size)
-        same = {m.b + i for m in matches for i in range(m.size)}
-        used = {m.a + i for m in matches for i in range(m.size)}
-        return len(same) / len(own), [w for i, w in enumerate(own) if i not in same], [theirs[i] for i in run if i not in used]
+    def run(self, own: list[str], name: str, whole: bool) -> tuple[float, int, int, float, list[str], list[str]] | None:
+        """Weight, first word, end, agreement, words added and missing of the densest run of own that the template confirms."""
+        aligned, theirs = self.aligned[name], self.words[name]
+        aligned.set_seq1(own)
+        parts = [m for m in aligned.get_matching_blocks() if m.size]
+        best, weight, first = (0.0, 0, 0), 0.0, 0
+        for i, m in enumerate(parts):
+            if i:
+                p = parts[i - 1]
+                weight -= AGREE * (m.a - p.a - p.size) + (1 - AGREE) * (m.b - p.b - p.size)
+            if weight <= 0:
+                weight, first = 0.0, i
+            weight += (1 - AGREE) * m.size
+            if weight > best[0] + 1e-9:
+                best = (weight, first, i + 1)
+        parts = parts[best[1] : best[2]]
+        if not parts:
+            return None
+        start, end = parts[0].a, parts[-1].a + parts[-1].size
+        same, used = {m.a + i for m in parts for i in range(m.size)}, {m.b + i for m in parts for i in range(m.size)}
+        if any(names(own, i) for i in range(start, end) if i not in same) or end < len(own) and names(own, end):
+            return None
+        agree = len(same) / (end - start)
+        sentences = (u for s, e, naming in self.sentences[name] if naming <= used and e - s > 1 and (u := sum(i in used for i in range(s, e))) >= max(AGREE * (e - s), min(LEAST, e - s)))
+        named = not self.naming[name] or self.naming[name] & used or len(same) >= 2 * LEAST
+        if agree < AGREE or not (any(sentences) or whole and named and len(same) >= AGREE * len(own)):
+            return None
+        return best[0], start, end, agree, [own[i] for i in range(start, end) if i not in same], [theirs[i] for i in range(parts[0].b, parts[-1].b + parts[-1].size) if i not in used]
+
+    def notice(self, block: str, whole: bool = True) -> tuple[int, int, tuple] | None:
+        """Start and end within the block of the notice confirmed best, and license, verdict, reduction, agreement, words added, words missing."""
+        at = [m.span() for m in WORD.finditer(block)]
+        own, best = [block[s:e].lower() for s, e in at], None
+        for reduction, name in self.reductions(block):
+            found = self.run(own, name, whole) if reduction > 0 else None
+            if found is None:
+                continue
+            weight, first, last, agree, added, missing = found
+            rank = (-round(weight, 6), -reduction, name)
+            if best is None or rank < best[0]:
+                best = (rank, first, last, (name, "modified" if added or missing else "exact", round(reduction, 4), round(agree, 4), added, missing))
+        if best is None:
+            return None
+        start, end = at[best[1]][0], at[best[2] - 1][1]
+        return start, end + (block[end : end + 1] == "."), best[3]
 
     def match(self, block: str) -> tuple[str, str, float, float, list[str], list[str]] | None:
         """License, verdict, reduction, agreement, words added, words missing; None if no template is confirmed."""
-        best = None
-        for reduction, name in self.reductions(block)[:BEST]:
-            agree, added, missing = self.differences(block, name)
-            if reduction <= 0 or agree < AGREE or any(NAMING.match(w) for w in added):
-                continue
-            rank = (-(agree - len(missing) / (len(missing) + 20)), -reduction, name)
-            if best is None or rank < best[0]:
-                best = (rank, (name, "exact" if not added and not missing else "modified", round(reduction, 4), round(agree, 4), added, missing))
-        return best and best[1]
+        found = self.notice(block)
+        return found and found[2]
+
+    def notices(self, block: str) -> list[tuple[int, int, tuple]]:
+        """All notices of a block, by position. Long blocks are read in windows that overlap by more than a notice."""
+        if len(block) <= 2 * self.reach:
+            return self.within(block, True, 0)
+        out, at = [], 0
+        while at < len(block):
+            last = at + 2 * self.reach >= len(block)
+            found = [n for n in self.within(block[at : at + 2 * self.reach], False, at) if last or n[0] < at + self.reach]
+            out += found
+            at = len(block) if last else max([at + self.reach, *(end for _, end, _ in found)])
+        return out
+
+    def within(self, block: str, whole: bool, first: int) -> list[tuple[int, int, tuple]]:
+        if not ANCHOR.search(block):
+            return []
+        found = self.notice(block, whole)
+        if found:
+            start, end, match = found
+            return [*self.within(block[:start], False, first), (first + start, first + end, match), *self.within(block[end:], False, first + end)]
+        ends = [m.end() for m in SENTENCE.finditer(block)]
+        if not ends:
+            return []
+        return [n for s, e in zip([0, *ends], [*ends, len(block)], strict=True) for n in self.within(block[s:e], False, first + s)]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
@@ -118,7 +196,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
             if block not in known:
                 if len(known) > 20_000:
                     known.clear()
-                known[block] = scanner.match(block)
+                known[block] = scanner.notices(block)
             return known[block]
 
         def step(batch: pa.RecordBatch) -> dict:
@@ -126,7 +204,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
             for text in texts(batch):
                 at = blocks(text)
                 out["blocks"].append(len(at))
-                out["found"].append([dict(zip(("license", "verdict", "start", "end", "reduction", "agreement", "added", "missing"), (m[0], m[1], s, e, *m[2:4], " ".join(m[4]), " ".join(m[5])), strict=True)) for s, e in at if (m := of(text[s:e]))])
+                out["found"].append([dict(zip(("license", "verdict", "start", "end", "reduction", "agreement", "added", "missing"), (m[0], m[1], s + start, s + end, *m[2:4], " ".join(m[4]), " ".join(m[5])), strict=True)) for s, e in at for start, end, m in of(text[s:e])])
             return out
 
         return step

@@ -260,6 +260,25 @@ def test_licenses(spark, odd, none, clash):
     assert licenses.scan(clash).count() == len(ODD) and licenses.scan(none).count() == 0
 
 
+def test_license_notices_in_prose(spark):
+    prose = "We wrote the whole of this small tool in the course of one winter and it is given to all who may want to use it. "
+    cases = [
+        (prose + "Released under the MIT License. " + prose, [("MIT", "exact", "Released under the MIT License.")]),
+        (prose + "Released under the MIT License. " + prose + "Licensed under CC BY-NC 4.0. " + prose, [("MIT", "exact", "Released under the MIT License."), ("CC-BY-NC-4.0", "exact", "Licensed under CC BY-NC 4.0.")]),
+        ("© 2023 All rights reserved.", [("All-Rights-Reserved", "exact", "All rights reserved.")]),
+        ("Copyright (c) 2024 Acme Corp. All rights reserved.", [("All-Rights-Reserved", "exact", "All rights reserved.")]),
+        ("SPDX-License-Identifier: MIT", [("MIT", "exact", "SPDX-License-Identifier: MIT")]),
+        ("// SPDX-License-Identifier: GPL-2.0-only", [("GPL-2.0", "exact", "SPDX-License-Identifier: GPL-2.0-only")]),
+        ("SPDX-License-Identifier: Zlib", []), ("Licensed under the Foo License.", []), ("Licensed under the BSD 2-Clause License.", []),
+        ("This work is licensed under the GNU General Public License, version 1.", []), ("the license of the software is a matter for the public", []),
+        ((prose + "Released under the MIT License. ") * 60, [("MIT", "exact", "Released under the MIT License.")] * 60),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    for r in licenses.scan(docs).collect():
+        text, expected = cases[r.doc_id]
+        assert [(f.license, f.verdict, text[f.start : f.end]) for f in r.found] == expected
+
+
 def test_license_query_finds_each_line(spark, sf):
     lines = {"Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "All rights reserved.": "All-Rights-Reserved"}
     got = {r.doc_id: r.licenses.split(",") for r in queries.QUERIES["op6_licenses"](spark, sf).collect()}
