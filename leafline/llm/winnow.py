@@ -2,7 +2,9 @@
 
 Rolling hashes of all k-grams of code points; of each window of w consecutive hashes the
 minimum is selected, the rightmost of equal ones, with its position. Two texts that share a passage of
-w + k - 1 code points share a selected hash. The hash of a k-gram is built by doubling from those of its
+w + k - 1 code points share a selected hash, where w is the larger window of the two. The window of a text is
+an eighth of its number of grams, W at most and 1 at least, so that short texts keep several: from 24 code points on, two
+thirds of a text left unchanged always share a hash with it. From 399 code points on the window is W. The hash of a k-gram is built by doubling from those of its
 halves, the windows' minima likewise, so that a text costs a fixed number of passes over arrays.
 
 neighbours() gives each document the one that follows it by descending doc_id: documents are dealt to
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import mapped, texts
 
-K, W = 16, 48
+K, W, SHARE = 16, 48, 8
 _R = 0x9E3779B97F4A7C15 | 1
 
 
@@ -52,8 +54,13 @@ def kgram_hashes(points: np.ndarray, k: int) -> np.ndarray:
     return ((out ^ (out >> np.uint64(32))) >> np.uint64(16)).astype(np.uint32)
 
 
-def winnow(text: str, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the selected k-grams, by position."""
+def window(n: int) -> int:
+    """The window of a text of n grams."""
+    return min(W, max(1, n // SHARE))
+
+
+def winnow(text: str, k: int = K, w: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the selected k-grams, by position; the window is that of the text's length if it isn't given."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(points):
         return np.empty(0, np.uint32), np.empty(0, np.uint32)
@@ -61,7 +68,7 @@ def winnow(text: str, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray]:
     n = len(hashes)
     # the hash above, the position reversed below: the least is the rightmost of equal hashes
     low = (hashes.astype(np.uint64) << np.uint64(32)) | np.arange(2**32 - 1, 2**32 - 1 - n, -1, dtype=np.uint64)
-    w, size = min(w, n), 1
+    w, size = min(w or window(n), n), 1
     while 2 * size <= w:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
@@ -84,7 +91,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
+def fingerprints(docs: DataFrame, k: int = K, w: int | None = None) -> DataFrame:
     """doc_id, positions and hashes of each row of docs(doc_id, text). No shuffle."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -134,7 +141,7 @@ def neighbours(docs: DataFrame, make, schema: str) -> DataFrame:
     return mapped(dealt.select("doc_id", "text", "guest"), start, schema)
 
 
-def compare(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
+def compare(docs: DataFrame, k: int = K, w: int | None = None) -> DataFrame:
     """Each document's fingerprint beside that of its edited text (its last third replaced by the following document's beginning) and of the following document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 

@@ -133,6 +133,16 @@ def test_winnow():
     assert len(np.intersect1d(a, b))
 
 
+def test_short_texts_share_hashes_with_their_edits():
+    rng = random.Random(3)
+    for n in [*range(24, 130), 300, 398, 399, 1000]:
+        text, other = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for _ in range(2))
+        edited = text[: n - n // 3] + other[: n // 3]
+        assert n - n // 3 >= winnow.window(n - winnow.K + 1) + winnow.K - 1
+        assert len(np.intersect1d(winnow.winnow(text)[1], winnow.winnow(edited)[1])), n
+    assert winnow.window(384) == winnow.W and winnow.window(383) < winnow.W
+
+
 def test_winnow_query(spark, sf):
     rows = sorted([(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()], reverse=True)
     got = {r.doc_id: r for r in queries.QUERIES["op3_winnow"](spark, sf).collect()}
