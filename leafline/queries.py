@@ -325,6 +325,17 @@ def verdict_rows(spark, sf_dir):
     return validate.verdicts(b, results).select("doc_id", "unit_id", "status", "rejected_by")
 
 
+#: Probes spread over the whole of each conversation, its end included.
+_SPREAD = "(select distinct conv_id, (turn * 1000003) % (max(e) over (partition by conv_id) + 2) as pos from b union select conv_id, max(e) + 1 from b group by conv_id)"
+
+
+def _spread(t: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    spread = t.select("conv_id", (F.col("turn") * 1000003 % (F.max("e").over(Window.partitionBy("conv_id")) + 2)).alias("at"))
+    return spread.unionByName(t.groupBy("conv_id").agg((F.max("e") + 1).alias("at"))).distinct()
+
+
 @query("V23_owning_or_flanking", _B + """
 , o as (select distinct conv_id, (turn * 61) % 400 as pos from b)
 select o.conv_id, pos as at, (select code || turn from b where b.conv_id = o.conv_id and s <= pos and pos < e) as owner,
@@ -338,6 +349,19 @@ def owning(spark, sf_dir):
     return validate.owners(turns(spark, sf_dir).select("conv_id", (F.col("turn") * 61 % 400).alias("at")).distinct(), ranges, "conv_id")
 
 
+@query("V23_owning_or_flanking_whole", _B + """
+, o as """ + _SPREAD + """
+select o.conv_id, pos as at, (select code || turn from b where b.conv_id = o.conv_id and s <= pos and pos < e) as owner,
+       case when not exists (select 1 from b where b.conv_id = o.conv_id and s <= pos and pos < e) then (select arg_max(code || turn, s) from b where b.conv_id = o.conv_id and s <= pos) end as before,
+       case when not exists (select 1 from b where b.conv_id = o.conv_id and s <= pos and pos < e) then (select arg_min(code || turn, s) from b where b.conv_id = o.conv_id and s > pos) end as after
+from o
+""")
+def owning_whole(spark, sf_dir):
+    t = turns(spark, sf_dir).where("size > 0")
+    ranges = t.select("conv_id", F.concat(blocks.id_code(F.col("kind")), F.col("turn").cast("string")).alias("id"), F.col("s").alias("start"), F.col("e").alias("end"))
+    return validate.owners(_spread(turns(spark, sf_dir)), ranges, "conv_id")
+
+
 @query("V24_offenders", _B + """
 , f as (select distinct conv_id, (turn * 61) % 400 as pos from b)
 select b.conv_id, cast(b.turn as varchar) as id, count(pos) as n from b left join f on f.conv_id = b.conv_id and s <= pos and pos < e group by all having count(pos) <> 1
@@ -348,6 +372,16 @@ def offending(spark, sf_dir):
     return validate.offenders(ranges, t.select("conv_id", (F.col("turn") * 61 % 400).alias("at")).distinct(), "conv_id")
 
 
+@query("V24_offenders_whole", _B + """
+, f as """ + _SPREAD + """
+select b.conv_id, cast(b.turn as varchar) as id, count(pos) as n from b left join f on f.conv_id = b.conv_id and s <= pos and pos < e group by all having count(pos) <> 1
+""")
+def offending_whole(spark, sf_dir):
+    t = turns(spark, sf_dir)
+    ranges = t.select("conv_id", F.col("turn").cast("string").alias("id"), F.col("s").alias("start"), F.col("e").alias("end"))
+    return validate.offenders(ranges, _spread(t), "conv_id")
+
+
 @query("V26_neighbours", "select distinct c.conv_id, c.turn from conversations c join conversations s on s.conv_id = c.conv_id and s.turn % 7 = 3 and abs(c.turn - s.turn) <= 1")
 def neighbours(spark, sf_dir):
     t = table(spark, sf_dir, "conversations")
@@ -462,6 +496,18 @@ def active_block(spark, sf_dir):
     return align.active_block(t.select("conv_id", (F.col("turn") * 61 % 400).alias("at")).distinct(), anchors, "conv_id")
 
 
+@query("M19_active_block_whole", _B + """
+, p as """ + _SPREAD + """,
+  h as (select p.*, (select arg_max(turn, s) from b where b.conv_id = p.conv_id and s <= pos) as up, (select arg_min(turn, s) from b where b.conv_id = p.conv_id and s > pos) as down from p),
+  c as (select h.conv_id, pos, case when pos < x.s + x.size - 1 then up else coalesce(down, up) end as block from h left join b x on x.conv_id = h.conv_id and x.turn = up)
+select c.conv_id, cast(pos as double) as at, cast(block as varchar) as block, least(greatest((pos - s) / greatest(1.0, size - 1.0), 0.0), 1.0) as progress from c join b on b.conv_id = c.conv_id and b.turn = block
+""")
+def active_block_whole(spark, sf_dir):
+    t = turns(spark, sf_dir)
+    anchors = t.select("conv_id", F.col("turn").cast("string").alias("id"), F.col("s").alias("top"), (F.col("size") - 1).alias("height"))
+    return align.active_block(_spread(t), anchors, "conv_id")
+
+
 @query("M18_M26_sync_attributes", "select conv_id, turn, 'data-sync-id=\"' || replace(replace(replace(replace(role || '<&\"', '&', '&amp;'), '\"', '&quot;'), '<', '&lt;'), '>', '&gt;') || '\" data-sync-role=\"anchor\" data-sync-kind=\"paragraph\" data-sync-status=\"translated\" data-sync-order=\"' || turn || '\"' as attributes from conversations")
 def sync_attributes(spark, sf_dir):
     t = table(spark, sf_dir, "conversations")

@@ -59,3 +59,9 @@ def test_gate_constants(spark, text, reading):
 
     df = spark.createDataFrame([(text,)], "x string")
     assert df.select(language.reading(df.x, "cyrillic")).first()[0] == reading
+
+
+def test_probes_reach_beyond_the_first_bytes(spark, sf):
+    assert QUERIES["V23_owning_or_flanking_whole"](spark, sf).where("at >= 400 and owner is not null").count() > 0
+    clamped = QUERIES["M19_active_block_whole"](spark, sf).where("progress = 1.0 and at >= 400")
+    assert clamped.count() > 0
