@@ -287,6 +287,11 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     component_id is the smallest doc_id that the row's document reaches by links of
     100 * intersection >= percent * union, itself included.
     """
+    return _joined(docs, n, percent).drop("root", "odd")
+
+
+def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """join() with root and odd, which together name the component also where doc_ids are null or repeated."""
     spark = docs.sparkSession
     heap = new_path(spark, "ngram-heap")
     rows = written(spark, _scan(docs, n, percent, heap), "ngram-rows")
@@ -331,14 +336,17 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     drop(spark, rows, heap, nodes, members, roots, *links)  # what follows reads the two tables above only
     rows = narrow
     named = placed.groupBy("root", "odd").agg(F.min("least").alias("component_id"))
-    known = placed.join(named, ["root", "odd"]).select("entry", "component_id")
-    return rows.join(known, "entry", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_sha256")
+    known = placed.join(named, ["root", "odd"]).select("entry", "component_id", "root", "odd")
+    return rows.join(known, "entry", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_sha256", "root", "odd")
 
 
 def kept(docs: DataFrame, columns: list[str], n: int = 5, percent: int = 80) -> DataFrame:
-    """One row of docs for each component, that of the smallest doc_id; documents without words stay."""
+    """One row of docs for each component, that of the smallest doc_id and then of the least hash of its text; documents without words stay."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")
-    ids = join(docs, n, percent).where("doc_id <=> component_id or n_shingles = 0")
+    ids = _joined(docs, n, percent).where("doc_id <=> component_id or n_shingles = 0")
+    # rows of a component that share its smallest doc_id, or have none, may differ in their texts: the least hash stays
+    least = F.row_number().over(Window.partitionBy("root", "odd", F.when(F.col("n_shingles") == 0, F.col("doc_id"))).orderBy("text_sha256"))
+    ids = ids.withColumn("_least", least).where("_least = 1 or n_shingles = 0")
     ids = ids.select(name, "text_sha256", F.when(F.col("n_shingles") > 0, True).otherwise(False).alias("_one")).distinct()
     keyed = docs.select(*columns, name, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("text_sha256"))
     order = Window.partitionBy("_id", "text_sha256").orderBy(*[F.col(c) for c in columns])

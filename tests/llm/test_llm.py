@@ -457,6 +457,14 @@ def test_ngram_odd_rows(odd, none, clash):
     assert ngram_join.kept(odd, columns, 2, 80).where("text like 'a b%'").count() == 1
 
 
+def test_one_row_of_a_component_stays_where_doc_ids_repeat(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words + " a", "en", "s", 0), (1, words + " b", "en", "s", 0), (2, words + " c", "en", "s", 0)]
+    rows += [(None, "x " + words[::-1] + end, "en", "s", 0) for end in (" a", " b")] + [(9, "one text of its own among all of these", "en", "s", 0), (8, "", "en", "s", 0)]
+    left = ngram_join.kept(spark.createDataFrame(rows, SCHEMA), ["doc_id", "text", "lang", "source", "n_chars"], 2, 80).collect()
+    assert Counter(r.doc_id for r in left) == {1: 1, None: 1, 9: 1, 8: 1}
+
+
 # --- 10 ---
 
 
