@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the contracts, as a character class of Java and Python.
@@ -134,6 +134,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def staying(docs: DataFrame, columns: list[str], marked: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with these columns.
+
+    marked(doc_id, text_sha256 of the raw text, all, one, rows) says of the rows of docs whether all like them stay, or
+    one of them; its `rows` add up to the rows of docs. Texts are not dealt out: rows that go are few or many, but narrow, and Spark broadcasts their keys where
+    the size of the written table allows it. Only rows that repeat a doc_id with its text are ranked, by their columns.
+    """
+    spark, id_, text = docs.sparkSession, "_leafline_id", "_leafline_text"
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    like = marked.groupBy(name("doc_id").alias(id_), F.col("text_sha256").alias(text)).agg(F.bool_or("all").alias("all"), F.bool_or("one").alias("one"), F.sum("rows").alias("n"))
+    like = written(spark, like.where("not all and (not one or n > 1)").select(id_, text, "one"), "leaving")
+    keyed = docs.select(*[F.col(f"`{c}`") for c in columns], name("doc_id").alias(id_), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256).alias(text))
+    rest = keyed.join(like, [id_, text], "left_anti")
+    order = Window.partitionBy(id_, text).orderBy(*[F.col(f"`{c}`") for c in columns])
+    again = keyed.join(like.where("one"), [id_, text], "left_semi").withColumn("_leafline_n", F.row_number().over(order)).where("_leafline_n = 1")
+    return rest.select(*columns).unionByName(again.select(*columns))
+
+
 def word_count(column) -> Column:
     """Number of words, null: 0."""
     return F.coalesce(F.regexp_count(column, F.lit(NOT_SPACE + "+")), F.lit(0)).cast("long")

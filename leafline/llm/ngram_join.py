@@ -3,28 +3,32 @@
 A document's set of shingles is XOR-hashed into a parity sketch: every shingle flips one bit of
 a (virtual, 2**64 bits wide) sketch, so the Hamming distance of two sketches is at most the
 symmetric difference of the sets. Sets with 100 * I >= T * U differ in at most
-D(a) = floor((100 - T) * a / T) shingles, a being the smaller size. Sizes fall into bands; each band
-cuts the sketch into D + 1 parts and some more (MARGIN). Of two linked sets, at least one part
-is equal (pigeonhole), and parts of equal sketch meet in a join on (band, part, part's bits).
-
-Parts with at most one shingle say little and are shared by chance, so they make no key, unless
-a document has more of them than its band has spare parts: then it keeps them all. A linked pair
-has at least P - D equal parts. If either document is within the spare parts, one of the equal
-parts has two shingles or more in both; if neither is, both keep all. So no link is lost.
+D(a) = floor((100 - T) * a / T) shingles, a being the smaller size. Sizes fall into bands, made on demand; each band
+cuts the sketch into P > D + 1 parts. Of two linked sets, at least P - D parts
+are equal (pigeonhole), and parts of equal sketch meet in a join on (band, part, part's bits).
+
+Only rich parts, of two shingles or more, make keys: an empty part is equal in sets that share nothing, a part of one
+shingle in all that share that one. A set is settled by a cut if its poor parts are fewer than the equal parts that a
+linked set must have; then one of the equal parts is rich. A set that isn't settled makes the keys of its rich parts and goes
+on to another cut of the sketch (LEVELS cuts, each with a seed of its own). Of a linked pair, both sets take part in each cut up
+to the first that settles either, and meet there. What no cut settles, and bands too narrow for any, is filed by its
+size - ceil(T * size / 100) + 1 least hashes, of which two linked sets share one. So no link is lost, and sets that
+share nothing never meet.
 
 Links are sought between distinct sets only (copies are collapsed per scan task, then by class)
 and not as all pairs of a group: each bucket links its members with its smallest member; pairs
 are made distinct, sieved by explicit sketches of 64 * LONGS bits and then of four bits a shingle (the
-Hamming distance is at most the symmetric difference) and verified on the whole sets, read from heap files (64-bit hashes of shingles of
-64-bit hashes of words). Where a bucket's members are
+Hamming distance is at most the symmetric difference) and verified on the whole sets of 64-bit hashes of
+shingles, made from texts that are read from heap files. Where a bucket's members are
 still in several components, another member meets the rest, TURNS times; at last all members of
 different components meet, sieved inside that join. That leaves every two linked
 documents in one component. Components come from contracting each node into its least neighbour.
 
 Cases: null text counts as empty. Fewer words than n: the whole sequence is one shingle; no
-words: an empty set, linked with nothing. Repeated rows have equal sets and are linked. A null
+words: an empty set, linked with nothing. Very long texts make keys in proportion to their length and are read whole. Repeated rows have
+equal sets and are linked. Ties of doc_id within a component: one row stays in kept(), that of the least hash of its text. A null
 doc_id is never the smallest unless all are null. An empty table gives an empty table. Other columns of
-the input are ignored, whatever their names.
+the input are ignored by join() and kept by kept(), whatever their names.
 """
 
 from __future__ import annotations
@@ -36,22 +40,26 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop, mapped, new_path, written
+from .common import drop, mapped, new_path, staying, written
 from .heap import Heap, HeapWriter
 
 #: Longs of the explicit parity sketch that pairs are sieved by: 64 bits each.
 LONGS = 16
 #: Rounds in which a bucket's members meet another one of them, before the last, in which all of different components meet.
 TURNS = 2
-#: Spare parts, as a share of those that the pigeonhole needs.
-MARGIN = 0.12
+#: Cuts of the sketch that a set takes part in until one settles it.
+LEVELS = 3
 WORDS_KEPT = 150_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
+#: Seeds of the cuts after the first.
+_LEVEL = [np.uint64(x) for x in (0, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7)]
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -91,50 +99,68 @@ class Shingler:
 
 
 class Bands:
-    """Size bands, and the parts of each."""
+    """Size bands, and the parts that each cuts the sketch into; 0 where no cut would settle most sets."""
 
     def __init__(self, percent: int) -> None:
-        self.percent, t = percent, percent
-        least = -(-t // (100 - t))  # the smallest size that allows a difference
-        self.low, self.high = [least], []
-        while len(self.low) < 60:
-            self.high.append(max(self.low[-1], self.low[-1] * 10000 // (t * t)))
-            self.low.append(self.high[-1] + 1)
-        self.parts = [(d := self.differ(h)) + 1 + max(1, -int(-MARGIN * (d + 1) // 1)) for h in self.high]
+        if not 0 < percent <= 100:
+            raise ValueError("percent must be above 0 and at most 100")
+        self.percent, self.low, self.high, self.parts = percent, [], [], []
+        # the smallest size that allows a difference; at 100 percent only equal sets are linked
+        self.least = -(-percent // (100 - percent)) if percent < 100 else None
 
     def differ(self, size: int) -> int:
         """The largest symmetric difference of a set of this size from a linked set that isn't smaller."""
         return (100 - self.percent) * size // self.percent
 
+    def _extend(self, size: int) -> None:
+        while not self.high or self.high[-1] < size:
+            low = self.high[-1] + 1 if self.high else self.least
+            high = max(low, low * 10000 // self.percent**2)
+            self.low.append(low)
+            self.high.append(high)
+            self.parts.append(self._cut(low, high))
+
+    def _cut(self, low: int, high: int) -> int:
+        """The least number of parts of which sets of the band leave poor, by expectation and half a deviation, fewer than must be equal; 0 if none does."""
+        apart = self.differ(high)
+        for p in range(apart + 2, 2 * apart + 5) if apart < 64 else np.linspace(apart + 2, 2 * apart + 4, 256).astype(int).tolist():
+            poor = ((p * np.exp(-a / p) * (1 + a / p), p - self.differ(a) - 1) for a in (low, (low + high) // 2, high))
+            if all(n + 0.5 * np.sqrt(n) <= spare for n, spare in poor):
+                return int(p)
+        return 0
+
     def roles(self, size: int) -> list[int]:
         """The bands in which a set of this size takes part: its own, and the next below if a smaller partner may be there."""
-        if size < self.low[0]:
+        if self.least is None or size < self.least:
             return []
+        self._extend(size)
         k = int(np.searchsorted(self.low, size, "right")) - 1
         below = k > 0 and 100 * self.high[k - 1] >= self.percent * size
         return [k, k - 1] if below else [k]
 
     @lru_cache(maxsize=64)
-    def salt(self, k: int) -> np.ndarray:
-        return _mix((np.uint64(k + 1) << np.uint64(40)) + np.arange(self.parts[k], dtype=np.uint64))
+    def salt(self, k: int, level: int) -> np.ndarray:
+        return _mix((np.uint64(k + 1) << np.uint64(40)) + (np.uint64(level) << np.uint64(60)) + np.arange(self.parts[k], dtype=np.uint64))
 
     def keys(self, shingles: np.ndarray) -> np.ndarray:
-        """Join keys of a sorted set of hashes: parts of its parity sketch, by band and part."""
-        size, out = len(shingles), []
-        roles = self.roles(size)
-        if not roles:
-            return np.empty(0, np.int64)
-        bits = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(_mix(shingles + _ODD[1]))])
-        high = shingles >> np.uint64(32)
-        for k in roles:
-            p = self.parts[k]
-            # the hash's high half deals shingles to parts in sorted order; a part's bits, as a Zobrist hash, are the XOR of its run
-            edges = np.searchsorted((high * np.uint64(p)) >> np.uint64(32), np.arange(p + 1, dtype=np.uint64))
-            rich = np.diff(edges) > 1
-            parity = bits[edges[1:]] ^ bits[edges[:-1]]
-            keys = _mix(parity ^ self.salt(k))
-            out.append(keys[rich] if p - rich.sum() <= p - self.differ(min(size, self.high[k])) - 1 else keys)
-        return np.concatenate(out).view(np.int64)
+        """Join keys of a sorted set of hashes: rich parts of its parity sketch, by band, cut and part, or its least hashes."""
+        size, out, cuts = len(shingles), [], {}
+        for k in self.roles(size):
+            p, allowed = self.parts[k], self.parts[k] - self.differ(min(size, self.high[k])) - 1
+            for level in range(LEVELS if p else 0):
+                if level not in cuts:
+                    dealt = np.sort(_mix(shingles ^ _LEVEL[level])) if level else shingles
+                    cuts[level] = dealt >> np.uint64(32), np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(_mix(dealt + _ODD[1]))])
+                high, bits = cuts[level]
+                # the hash's high half deals shingles to parts in sorted order; a part's bits, as a Zobrist hash, are the XOR of its run
+                edges = np.searchsorted((high * np.uint64(p)) >> np.uint64(32), np.arange(p + 1, dtype=np.uint64))
+                rich = np.flatnonzero(np.diff(edges) > 1)
+                out.append(_mix(bits[edges[rich + 1]] ^ bits[edges[rich]] ^ self.salt(k, level)[rich]))
+                if p - len(rich) <= allowed:
+                    break
+            else:
+                out.append(_mix(shingles[: size + (-self.percent * size) // 100 + 1] ^ _mix(_ODD[0] + np.uint64([k + 1]))))
+        return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -281,25 +307,39 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def _named(spark: SparkSession, rows: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows, entries and the table of nodes, a node for each set, named by 64 bits of its hash.
+
+    Sets that share those bits are named anew from both halves of the hash, until all names differ.
+    """
+    first = entries.groupBy("node", "check").agg(F.min(F.struct("row", "n_shingles", "file", "at", "length", "sketch")).alias("x"))
+    nodes = written(spark, first.select("node", "check", F.col("x.n_shingles").alias("n"), "x.file", "x.at", "x.length", *[F.col("x.sketch")[i].alias(f"s{i}") for i in range(LONGS)]), "nodes")
+    salt = 0
+    while True:
+        shared = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("_sets")).where("_sets > 1").select("node", F.lit(True).alias("_shared"))
+        if shared.isEmpty():
+            return rows, entries, nodes
+        shared, salt = written(spark, shared, "shared"), salt + 1
+        anew = lambda df: df.join(shared, "node", "left").withColumn("node", F.when(F.col("_shared"), F.xxhash64("node", "check", F.lit(salt))).otherwise(F.col("node"))).select(*df.columns)  # noqa: B023, E731
+        rows, entries, nodes = anew(rows), anew(entries), written(spark, anew(nodes), "nodes")
+
+
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, text_sha256 of each row of docs(doc_id, text).
 
     component_id is the smallest doc_id that the row's document reaches by links of
     100 * intersection >= percent * union, itself included.
     """
-    return _joined(docs, n, percent).drop("root", "odd")
+    return _joined(docs, n, percent).drop("root")
 
 
 def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """join() with root and odd, which together name the component also where doc_ids are null or repeated."""
+    """join() with root, which names the component also where doc_ids are null or repeated."""
     spark = docs.sparkSession
     heap = new_path(spark, "ngram-heap")
     rows = written(spark, _scan(docs, n, percent, heap), "ngram-rows")
     entries = rows.where("file is not null")
-    # one node for each set; should two sets share the 64 bits of a node, the one with the smaller check is the node
-    nodes = entries.groupBy("node").agg(F.min(F.struct("check", "row", "n_shingles", "file", "at", "length", "sketch")).alias("x"))
-    nodes = nodes.select("node", "x.check", F.col("x.n_shingles").alias("n"), "x.file", "x.at", "x.length", *[F.col("x.sketch")[i].alias(f"s{i}") for i in range(LONGS)])
-    nodes = written(spark, nodes, "nodes")
+    rows, entries, nodes = _named(spark, rows, entries)
     least = F.min("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
     keyed = entries.where("size(keys) > 0").select("node", F.explode("keys").alias("key"))
     star = written(spark, keyed.withColumn("rep", least).where("node <> rep").distinct(), "star")
@@ -328,26 +368,21 @@ def _joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
             roots = components(reduce(DataFrame.union, links))
         drop(spark, inside)
     # smallest doc_id by entry, by class, by component; entries are at most as hot as a scan task
-    of_entry = rows.where("node is not null").groupBy("entry", "node", "check").agg(F.min("doc_id").alias("least"))
-    real = of_entry.join(nodes.select("node", F.col("check").alias("node_check")), "node")
-    placed = of(real, "node", "root").select("entry", "least", "root", F.when(F.col("check") == F.col("node_check"), 0).otherwise(F.col("check")).alias("odd"))
-    placed = written(spark, placed, "placed")
+    of_entry = rows.where("node is not null").groupBy("entry", "node").agg(F.min("doc_id").alias("least"))
+    placed = written(spark, of(of_entry, "node", "root").select("entry", "least", "root"), "placed")
     narrow = written(spark, rows.select("doc_id", "entry", "n_shingles", "node", "text_sha256"), "ngram-narrow")
     drop(spark, rows, heap, nodes, members, roots, *links)  # what follows reads the two tables above only
     rows = narrow
-    named = placed.groupBy("root", "odd").agg(F.min("least").alias("component_id"))
-    known = placed.join(named, ["root", "odd"]).select("entry", "component_id", "root", "odd")
-    return rows.join(known, "entry", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_sha256", "root", "odd")
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = placed.join(named, "root").select("entry", "component_id", "root")
+    return rows.join(known, "entry", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_sha256", "root")
 
 
 def kept(docs: DataFrame, columns: list[str], n: int = 5, percent: int = 80) -> DataFrame:
     """One row of docs for each component, that of the smallest doc_id and then of the least hash of its text; documents without words stay."""
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")
-    ids = _joined(docs, n, percent).where("doc_id <=> component_id or n_shingles = 0")
+    found = _joined(docs, n, percent)
     # rows of a component that share its smallest doc_id, or have none, may differ in their texts: the least hash stays
-    least = F.row_number().over(Window.partitionBy("root", "odd", F.when(F.col("n_shingles") == 0, F.col("doc_id"))).orderBy("text_sha256"))
-    ids = ids.withColumn("_least", least).where("_least = 1 or n_shingles = 0")
-    ids = ids.select(name, "text_sha256", F.when(F.col("n_shingles") > 0, True).otherwise(False).alias("_one")).distinct()
-    keyed = docs.select(*columns, name, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("text_sha256"))
-    order = Window.partitionBy("_id", "text_sha256").orderBy(*[F.col(c) for c in columns])
-    return keyed.join(ids, ["_id", "text_sha256"]).withColumn("_n", F.row_number().over(order)).where("_n = 1 or not _one").select(*columns)
+    able = found.where("n_shingles > 0 and doc_id <=> component_id").select("root", "doc_id", "text_sha256")
+    chosen = able.groupBy("root").agg(F.min("text_sha256").alias("least"))
+    one = able.join(chosen, "root").where("text_sha256 = least").select("doc_id", "text_sha256", F.lit(False).alias("all"), F.lit(True).alias("one"), F.lit(0).alias("rows"))
+    return staying(docs, columns, found.select("doc_id", "text_sha256", (F.col("n_shingles") == 0).alias("all"), F.lit(False).alias("one"), F.lit(1).alias("rows")).union(one))

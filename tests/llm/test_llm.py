@@ -380,7 +380,7 @@ def test_colliding_keys_are_told_apart(spark, monkeypatch):
     """Owners compare bytes: texts whose keys collide stay apart."""
     docs = spark.createDataFrame([(i, f"text {i % 5}") for i in range(40)], "doc_id long, text string")
     scan = exact_dedup._scan
-    monkeypatch.setattr(exact_dedup, "_scan", lambda d, f: scan(d, f).withColumn("key", F.lit(3).cast("long")))
+    monkeypatch.setattr(exact_dedup, "_scan", lambda d, *a: scan(d, *a).withColumn("key", F.lit(3).cast("long")))
     assert {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.dedup(docs).collect()} == {(i, i % 5, 8) for i in range(40)}
 
 
@@ -434,19 +434,48 @@ def test_ngram_join_on_the_query_table(spark, sf):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in queries.QUERIES["op9_ngram_join"](spark, sf).collect()} == brute_join(docs, 4, 85)
 
 
-def test_keys_meet_for_all_linked_sets():
+def random_set(rng, size):
+    return np.unique(rng.integers(0, 2**63, size, dtype=np.uint64)) * np.uint64(2) + np.uint64(1)
+
+
+@pytest.mark.parametrize("percent", [50, 60, 70, 80, 85, 90, 95, 97, 99])
+def test_keys_meet_for_all_linked_sets(percent):
     """The guarantee of the parts: any two linked sets share a key."""
-    rng = np.random.default_rng(1)
-    for percent in (80, 85, 95):
-        bands = ngram_join.Bands(percent)
-        for size in [5, 6, 7, 8, 9, 11, 13, 17, 20, 33, 50, 90, 200, 700]:
-            for _ in range(40):
-                a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
-                drop = rng.integers(0, size // 5 + 1)
-                b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**63, rng.integers(0, size // 5 + 1), dtype=np.uint64)]))
-                if ngram_join.linked(a, b, percent) and not np.array_equal(a, b):
-                    assert np.intersect1d(bands.keys(a), bands.keys(b)).size
-                    assert int(np.bitwise_count((ngram_join.sketch(a) ^ ngram_join.sketch(b)).view(np.uint64)).sum()) <= len(np.setxor1d(a, b))
+    rng, bands, met = np.random.default_rng(percent), ngram_join.Bands(percent), 0
+    for size in [1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 13, 17, 20, 33, 50, 90, 200, 700, 2500, 20000, 50000]:
+        for _ in range(40 if size < 1000 else 4):
+            a, room = random_set(rng, size), size * (100 - percent) // 100
+            drop = rng.integers(0, room + 1)
+            b = np.unique(np.concatenate([rng.permutation(a)[drop:], random_set(rng, rng.integers(0, room - drop + 1)) if room > drop else a[:0]]))
+            if ngram_join.linked(a, b, percent) and not np.array_equal(a, b):
+                met += 1
+                assert np.intersect1d(bands.keys(a), bands.keys(b)).size
+                assert int(np.bitwise_count((ngram_join.sketch(a) ^ ngram_join.sketch(b)).view(np.uint64)).sum()) <= len(np.setxor1d(a, b))
+    assert met > 30
+
+
+def test_bands_of_any_percent():
+    assert ngram_join.Bands(100).keys(random_set(np.random.default_rng(0), 500)).size == 0  # only equal sets are linked
+    with pytest.raises(ValueError, match="percent"):
+        ngram_join.Bands(0)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_unrelated_sets_meet_nowhere(percent):
+    """Pairs met in buckets don't grow with the square of the number of sets."""
+    rng, bands = np.random.default_rng(7), ngram_join.Bands(percent)
+    for size in (6, 8, 20, 50, 100, 400, 1000):
+        for n in (500, 1000, 4000) if size <= 100 else (500, 1000):
+            _, shared = np.unique(np.concatenate([bands.keys(random_set(rng, size)) for _ in range(n)]), return_counts=True)
+            assert (shared * (shared - 1) // 2).sum() <= n // 100
+
+
+def test_sets_that_share_a_name_are_told_apart(spark):
+    rows = [(r, r // 2, "n" if r % 3 else "m", 100 + r % 4) for r in range(12)]
+    frame = spark.createDataFrame([(r, 5 if kind == "n" else r, check, 1, "f", 0, 1, [0] * ngram_join.LONGS) for r, _, kind, check in rows], "row long, node long, check long, n_shingles long, file string, at long, length int, sketch array<long>")
+    named, entries, nodes = ngram_join._named(spark, frame, frame)
+    assert nodes.count() == nodes.select("node").distinct().count() == frame.select("node", "check").distinct().count()
+    assert entries.join(nodes, ["node", "check"]).count() == named.count() == 12
 
 
 def test_ngram_odd_rows(odd, none, clash):
