@@ -33,7 +33,7 @@ def op3_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id")))
-    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels), ["doc_id"])
+    scored = toxicity.fit_score(docs, labels, ["doc_id"])
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
 
 

@@ -162,30 +162,66 @@ def test_winnow_query(spark, sf):
 
 def test_nearest_is_exact():
     rng = random.Random(2)
-    index = toxicity.Index({str(i): i for i in range(30)}, np.array([1 + rng.random() for _ in range(30)]))
-    examples = [(i, rng.randint(0, 1), {rng.randrange(30): rng.randint(1, 4) for _ in range(rng.randint(1, 5))}) for i in range(700)]
-    index.fill(examples)
-    dense = np.zeros((700, 30))
-    by_id = {e[0]: e for e in examples}
-    for place, doc in enumerate(index.ids):
-        t, w = index.vector(by_id[doc][2])
+    names = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(60)]
+    index = toxicity.Index({n: i for i, n in enumerate(names)}, np.array([1 + rng.random() for _ in names]))
+    bag = lambda least: " ".join(rng.choices(names, weights=[60 / (i + 1) for i in range(60)], k=rng.randint(least, 9)))
+    index.fill([(i, rng.randint(0, 1), str(rng.random()), *index.vector(bag(1))) for i in range(700)])
+    dense = np.zeros((700, 60))
+    for place, (t, w) in enumerate(index.vectors):
         dense[place, t] = w
-    for _ in range(200):
-        t, q = index.vector({rng.randrange(30): rng.randint(1, 4) for _ in range(rng.randint(1, 4))})
-        full = np.zeros(30)
+    queries_ = [index.vector(bag(0)) for _ in range(200)]
+    for (t, q), (at, c) in zip(queries_, index.nearest(queries_, 15), strict=True):
+        full = np.zeros(60)
         full[t] = q
-        cosine = np.round(dense @ full, 10)
-        order = [i for i in np.lexsort((np.arange(700), -cosine)) if cosine[i] > 0][:15]
-        at, c = index.nearest(t, q, 15)
-        assert np.allclose(np.sort(c), np.sort(cosine[order]), atol=1e-9) and len(at) == len(order)
+        cosine = dense @ full
+        # all that is certainly nearer than the last is there, in order, and nothing that certainly isn't
+        assert np.allclose(c, np.sort(cosine[cosine > 1e-9])[::-1][:15], atol=2e-5) and np.allclose(c, cosine[at], atol=2e-5)
+        assert len(set(at.tolist())) == len(at) and all(x > y or a < b for x, y, a, b in zip(c, c[1:], at, at[1:], strict=False))
+
+
+def test_toxicity_against_plain_cosines(spark, sf):
+    """The query by hand: every labelled row, all of its words, full cosines."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    known = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    bags = {i: Counter(re.findall(r"[^\W\d_]+", t.lower())) for i, t in docs.items()}
+    texts = sorted({docs[i] for i in known})
+    label = {t: max(known[i] for i in known if docs[i] == t) for t in texts}
+    first = {t: bags[min(i for i in known if docs[i] == t)] for t in texts}
+    df, n, toxic = Counter(w for b in bags.values() for w in b), Counter(w for t in texts for w in first[t]), Counter(w for t in texts if label[t] for w in first[t])
+    rows, positive = len(texts), sum(label.values())
+
+    def g(w):
+        cells = [(toxic[w], n[w] * positive), (n[w] - toxic[w], n[w] * (rows - positive)), (positive - toxic[w], (rows - n[w]) * positive), (rows - positive - n[w] + toxic[w], (rows - n[w]) * (rows - positive))]
+        return 2 * sum(o * np.log(o * rows / e) for o, e in cells if o)
+
+    top = max(map(g, n))
+    weight = {w: (np.log((1 + len(docs)) / (1 + df[w])) + 1) * (toxicity.FLOOR + g(w) / top) for w in n}
+
+    def unit(bag):
+        v = {w: (1 + np.log(k)) * weight[w] for w, k in bag.items() if w in weight}
+        length = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / length for w, x in v.items()}
+
+    examples = [(unit(first[t]), label[t]) for t in texts if first[t]]
+    checked = 0
+    for r in queries.QUERIES["op4_toxicity"](spark, sf).where("doc_id % 25 = 0 or predicted = 1").collect():
+        q = unit(bags[r.doc_id])
+        cosines = sorted((round(sum(x * v.get(w, 0) for w, x in q.items()), 4) for v, _ in examples), reverse=True)
+        near = [float(x.split(":")[2]) for x in r.evidence.split(",") if x]
+        assert np.allclose(near, [c for c in cosines if c > 0][: len(near)], atol=2e-4)
+        checked += len(near) > 0
+    assert checked > 30
 
 
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
-    got = queries.QUERIES["op4_toxicity"](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("toxic is not null")
-    hit = got.where("toxic = 1").agg(F.avg("predicted")).first()[0]
-    false = got.where("toxic = 0").agg(F.avg("predicted")).first()[0]
-    assert hit > 0.7 and false < 0.02
+    got = queries.QUERIES["op4_toxicity"](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("toxic is not null").select("score", "predicted", "toxic").toPandas()
+    assert got[got.toxic == 1].predicted.mean() >= 0.9 and got[got.toxic == 0].predicted.mean() < 0.01
+    # calibrated: of the rows with a like score, about that share is toxic
+    for low, high in ((0, 0.1), (0.1, 0.9), (0.9, 1.01)):
+        part = got[(got.score >= low) & (got.score < high)]
+        assert len(part) < 10 or abs(part.score.mean() - part.toxic.mean()) < (0.05 if low != 0.1 else 0.25)
+    assert ((got.score - got.toxic) ** 2).mean() < 0.02
 
 
 def test_toxicity_odd_rows(odd, none, clash, spark):
