@@ -23,8 +23,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below one half; labels of held-out rows teach nothing."""
     labels = table(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id")))
-    index = toxicity.fit(docs, labels)
-    return toxicity.score(docs, index, COLUMNS).where("predicted = 0").select(*COLUMNS)
+    return toxicity.fit_score(docs, labels, COLUMNS).where("predicted = 0").select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
