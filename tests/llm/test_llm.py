@@ -5,6 +5,7 @@ import json
 import random
 import re
 import sys
+import time
 import zipfile
 import zlib
 from collections import Counter, defaultdict
@@ -572,6 +573,70 @@ def test_revealing_terms(spark):
     assert "Quimby" not in clean[1] and "[email]" in clean[1] and clean[100] == docs[12][1]
 
 
+def test_a_log_takes_no_quadratic_time():
+    line = "GET /index from 10.0.{}.{} by user a{}@x.org at +1 555 123 4567 done\n"
+    text = "".join(line.format(i // 250 % 250, i % 250, i) for i in range(70_000))
+    began = time.time()
+    spans = pii.base_spans(text)
+    assert len(pii.near_terms(text, spans, 5)) > len(spans) > 200_000 and time.time() - began < 30  # a test of each span against all takes hours
+    assert pii.near_terms("1.2.3.4 " * 4000, pii.base_spans("1.2.3.4 " * 4000), 5) == []
+
+
+def brute_terms(docs):
+    """(row, start, end) of revealing terms, by hand: a set of documents for each entity and pair."""
+    near, has, rows = defaultdict(dict), defaultdict(set), defaultdict(set)
+    for r, text in enumerate(docs):
+        words = [m.span() for m in re.finditer(r"[^\W\d_]{2,}", text)]
+        spans = pii.base_spans(text)
+        for w in re.findall(r"[^\W\d_]{2,}", text.lower()):
+            has[w].add(r)
+        for s, _, e, entity in spans:
+            rows[entity].add(r)
+            window = [w for w in words if w[1] <= s][-pii.WINDOW :] + [w for w in words if w[0] >= e][: pii.WINDOW]
+            for a, b in window:
+                if not any(a < y and x < b for x, _, y, _ in spans):
+                    near[entity].setdefault(r, set()).add((a, b))
+    out = defaultdict(set)
+    for entity, by_row in near.items():
+        around = {r: tuple(sorted(docs[r][a:b].lower() for a, b in v)) for r, v in by_row.items()}
+        for term in {w for v in around.values() for w in v}:
+            joint = {r for r, v in around.items() if term in v}
+            if len({around[r] for r in joint}) >= pii.SUPPORT and len(rows[entity]) < len(docs):
+                degree = 1 + np.log(min(len(joint), len(has[term])) / len(has[term])) / np.log(len(docs) / len(rows[entity]))
+                if degree >= pii.GENERALISE:
+                    for r in joint:
+                        out[r] |= {(a, b) for a, b in by_row[r] if docs[r][a:b].lower() == term}
+    return out
+
+
+def test_terms_against_brute_force(spark):
+    rng = random.Random(10)
+    people = [(f"name{chr(97 + i)}x", f"u{i}@x.org") for i in range(12)]
+    fill = [f"{a}{b}" for a in ("ba", "co", "du", "fi") for b in ("lor", "mit", "nes", "per", "quo")]
+    docs = []
+    for _ in range(240):
+        parts = rng.choices(fill, k=rng.randint(0, 14))
+        for name, mail in rng.choices(people, k=rng.randint(0, 3)):
+            at = rng.randint(0, len(parts))
+            parts[at:at] = [name.title(), *rng.choices(fill, k=rng.randint(0, 2)), mail][:: rng.choice([1, -1])]
+            if rng.random() < 0.3:
+                parts += [mail, rng.choice(fill), mail]
+        docs.append(" ".join(parts))
+    docs += docs[:20]
+    want = brute_terms(docs)
+    got = {r.doc_id: {(t.start, t.end) for t in r.terms or []} for r in pii.find(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert sum(map(len, want.values())) > 50 and all(got[i] == want.get(i, set()) for i in range(len(docs)))
+
+
+def test_mentions_count_by_document_and_null_ids_are_cleaned(spark):
+    docs = [(None, f"{w} note Quimby q@x.org {w} end") for w in ("one", "two", "three", "four")] + [(1, "alpha note Quimby q@x.org beta"), (1, "Quimby speaks elsewhere of it")]
+    docs += [(2, "zed Smith s@x.org aa bb s@x.org Smith cc s@x.org dd")] + [(3, f"Smith plain {i}") for i in range(2)] + [(9, f"text {i} about nothing at all") for i in range(100)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("_id", F.lit(1)).withColumn("terms", F.lit(2))
+    clean = [r.text for r in pii.sanitise(df, ["doc_id", "text", "_id", "terms"]).collect()]
+    assert not any("Quimby" in t and "[email]" in t for t in clean) and sum("Quimby" in t for t in clean) == 1
+    assert any("Smith" in t and "[email]" in t for t in clean)  # one document is no support
+
+
 def test_pii_odd_rows(none, clash):
     assert pii.digest(pii.find(clash)).count() == len(ODD) and pii.find(none).count() == 0
 
