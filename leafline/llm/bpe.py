@@ -3,11 +3,14 @@
 Distinct pieces of a batch of documents become rows of a matrix of ids, one matrix for each
 length bucket. In each round every row merges its leftmost pair of minimum rank; the ranks of
 pairs come from a hash table with open addressing; rows without a mergeable pair leave the
-matrix (compaction). A piece longer than the last bucket merges through a heap with the same
-order of merges, in n log n steps, so that one endless word costs no quadratic time.
-
-Cases: a null or empty text has no tokens and decodes to no bytes. Repeated rows are encoded
-each on their own and give equal results. An empty table gives an empty table. Other columns
+matrix (compaction). Buckets double without an end. Where rows are WIDE or wider, a row merges in one round all pairs of its minimum rank, from
+left to right, that would be its next leftmost minima anyway: as no merge of a pair makes a smaller rank, the order is that of single
+merges (where one would, the row merges its leftmost alone). So rounds grow with the ranks that a piece holds and not with its
+length, and one endless word costs no quadratic time.
+
+Cases: a null or empty text has no tokens and decodes to no bytes. Very long texts are encoded whole, their pieces in buckets of their
+length. Of pairs of equal rank the leftmost merges first. Repeated rows, null and repeated doc_ids are encoded
+each on their own and give equal results for equal texts. An empty table gives an empty table. Other columns
 of the input are ignored, whatever their names.
 """
 
@@ -15,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from itertools import chain
 
 import numpy as np
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import mapped, texts
 
-BUCKETS = (4, 8, 12, 16, 24, 32, 64, 128, 256)
+BUCKETS = (4, 8, 12, 16, 24, 32, 64, 128)
+WIDE = 256
 NONE = np.int32(2**31 - 1)
 #: Pieces kept between batches in one worker.
 CACHE = 150_000
@@ -114,15 +117,17 @@ class Encoder:
 
     def _encode(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         out: list[tuple[int, ...]] = [()] * len(pieces)
-        buckets: dict[int, list[int]] = {w: [] for w in BUCKETS}
+        buckets: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
             if (whole := self.ranks.get(p)) is not None:
                 out[i] = (whole,)
-            elif len(p) > BUCKETS[-1]:
-                out[i] = self._long(p)
             else:
-                buckets[next(w for w in BUCKETS if len(p) <= w)].append(i)
+                buckets.setdefault(next((w for w in BUCKETS if len(p) <= w), 1 << (len(p) - 1).bit_length()), []).append(i)
         for width, rows in buckets.items():
+            if width >= WIDE:
+                for i in rows:
+                    out[i] = self._wide(pieces[i])
+                continue
             step = max(1, (1 << 19) // width)
             for at in range(0, len(rows), step):
                 part = rows[at : at + step]
@@ -160,40 +165,36 @@ class Encoder:
             ranks[before, at[before] - 1] = self.pairs.get(ids[before, at[before] - 1], best[before])
         return [tuple(row[:k]) for row, k in zip(final.tolist(), size.tolist(), strict=True)]
 
-    def _long(self, piece: bytes) -> tuple[int, ...]:
-        """The same merges in the same order through a heap of (rank, position)."""
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        tokens, get = [piece[i : i + 1] for i in range(n)], self.ranks.get
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        ranks = self.pairs.get(np.array(ids[:-1], np.int32), np.array(ids[1:], np.int32)).tolist()
-        now = {i: r for i, r in enumerate(ranks) if r != NONE}
-        heap = [(r, i) for i, r in now.items()]
-        heapq.heapify(heap)
-
-        def price(i: int) -> None:
-            r = get(tokens[i] + tokens[after[i]]) if after[i] < n else None
-            if r is None:
-                now.pop(i, None)
-            else:
-                now[i] = r
-                heapq.heappush(heap, (r, i))
-
-        while heap:
-            r, i = heapq.heappop(heap)
-            if now.get(i) != r:
-                continue
-            j = after[i]
-            tokens[i] += tokens[j]
-            ids[i], ids[j] = r, -1
-            now.pop(j, None)
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            price(i)
-            if before[i] >= 0:
-                price(before[i])
-        return tuple(x for x in ids if x >= 0)
+    def _wide(self, piece: bytes) -> tuple[int, ...]:
+        """A matrix of one row, which merges all pairs of its minimum rank in a round."""
+        ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        ranks = np.append(self.pairs.get(ids[:-1], ids[1:]), NONE)
+        while (best := ranks.min()) != NONE:
+            at = np.flatnonzero(ranks == best)
+            # of pairs that overlap in a run, the first, third, ... merge
+            run = np.cumsum(np.diff(at, prepend=-2) != 1)
+            at = at[(np.arange(len(at)) - np.searchsorted(run, run)) % 2 == 0]
+            merged, left = ids.copy(), np.ones(len(ids), bool)
+            merged[at], left[at + 1] = best, False
+            merged, places = merged[left], at - np.arange(len(at))
+            around = np.unique(np.concatenate([places, places[places > 0] - 1]))
+            around = around[around < len(merged) - 1]
+            fresh = self.pairs.get(merged[around], merged[around + 1])
+            beside = ids[at[at + 2 < len(ids)] + 2]  # the right neighbours when the merges come one by one
+            between = self.pairs.get(np.full(len(beside), best, np.int32), beside)
+            if len(at) > 1 and min(fresh.min(initial=NONE), between.min(initial=NONE)) < best:  # not in ranks of trained vocabularies
+                at = at[:1]
+                merged = np.delete(ids, at + 1)
+                merged[at] = best
+                left = np.ones(len(ids), bool)
+                left[at + 1] = False
+                around = np.unique(np.concatenate([at, at[at > 0] - 1]))
+                around = around[around < len(merged) - 1]
+                fresh = self.pairs.get(merged[around], merged[around + 1])
+            ids, ranks = merged, ranks[left]
+            ranks[around] = fresh
+            ranks[-1] = NONE
+        return tuple(ids.tolist())
 
 
 _made: dict[tuple[bytes, str], Encoder] = {}

@@ -11,7 +11,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -79,16 +79,40 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext._leafline_shipped = True
 
 
-def bounded_batches(spark: SparkSession, megabytes: int = 8) -> None:
-    """Arrow batches of a bounded number of bytes, so that long texts don't add up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+#: Rows and bytes of the batches that a worker takes at a time, so that long texts don't add up in it.
+ROWS, BYTES = 4000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """The same bounds for the JVM's side, where the session sets none: they are read when a plan runs, so there is no other place for them."""
+    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(value))
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ROWS rows, and of BYTES bytes unless one row has more."""
+    at, n = 0, batch.num_rows
+    if n and batch.nbytes <= BYTES and n <= ROWS:
+        yield batch
+        return
+    while at < n:
+        size = max(1, min(ROWS, n - at))
+        while size > 1 and batch.slice(at, size).nbytes > BYTES:
+            size //= 2
+        yield batch.slice(at, size)
+        at += size
+
+
+def _outs(out) -> Iterable[dict]:
+    return () if out is None else (out,) if isinstance(out, dict) else out
 
 
 def mapped(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str, last: bool = False) -> DataFrame:
     """mapInArrow with columns as dicts. make() runs once in each task and gives the function for a batch.
 
-    With last, that function is called once more with None after the last batch.
+    That function returns a dict, None, or an iterator of dicts, each a batch. With last, it is called once more with None after the
+    last batch. Batches that come in have ROWS rows and BYTES bytes at most, whatever the session's settings.
     """
     ship(df.sparkSession)
     bounded_batches(df.sparkSession)
@@ -97,10 +121,10 @@ def mapped(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows and (out := step(batch)) is not None:
-                yield _batch(out, arrow)
-        if last and (out := step(None)) is not None:
-            yield _batch(out, arrow)
+            for part in _parts(batch):
+                yield from (_batch(out, arrow) for out in _outs(step(part)))
+        if last:
+            yield from (_batch(out, arrow) for out in _outs(step(None)))
         del step
         _trim()
 

@@ -79,10 +79,10 @@ with u as (select page_id, case when url like '%://%' then regexp_extract(substr
                                    ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')),
      m as (select page_id, host, path, rule, r.verdict, row_number() over (partition by page_id order by length(rule) desc) as n
            from v left join r on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)),
-     p as (select page_id, min(name) as pattern from v, (select unnest(['ads', 'adserver', 'banner', 'banners', 'casino', 'clickbait', 'download', 'lottery', 'malware', 'phishing', 'popup', 'porn',
-             'sexcam', 'torrent', 'tracker', 'warez', 'xxx']) as name) where regexp_matches(lower(host || path), '(^|[^a-z0-9])' || name || '($|[^a-z0-9])') group by page_id)
-select m.page_id, host, path, rule, coalesce(verdict, case when pattern is not null or regexp_matches(lower(host || path), '[.](exe|apk|msi)$') then 'block' else 'allow' end) as verdict,
-       case when rule is null then coalesce(pattern, case when regexp_matches(lower(host || path), '[.](exe|apk|msi)$') then '\.(?:exe|apk|msi)$' end) end as pattern
+     q(pattern, re) as (select '^' || n || '^', '(^|[^a-z0-9])' || n || '($|[^a-z0-9])' from (select unnest(['ads', 'adserver', 'banner', 'banners', 'casino', 'clickbait', 'download', 'lottery', 'malware',
+             'phishing', 'popup', 'porn', 'sexcam', 'torrent', 'tracker', 'warez', 'xxx']) as n) union all select '.' || n || '|', '[.]' || n || '$' from (select unnest(['exe', 'apk', 'msi']) as n)),
+     p as (select page_id, min(pattern) as pattern from v, q where regexp_matches(lower(host || path), re) group by page_id)
+select m.page_id, host, path, rule, coalesce(verdict, case when pattern is not null then 'block' else 'allow' end) as verdict, case when rule is null then pattern end as pattern
 from m left join p using (page_id) where n = 1
 """,
     "op7_warc": r"""

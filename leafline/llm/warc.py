@@ -8,9 +8,14 @@ unpacks each record by itself. A record whose payload is equal to an earlier one
 payload; its HTTP header keeps the payload's length and its WARC header the digest.
 
 Cases: null html counts as empty, a null url as an empty target. Payloads below `least` bytes are
-always responses, as is the record of the smallest page_id of equal payloads; rows that repeat
-that page_id with that payload are responses too. Null page_ids come last and are never referred to: a payload
-that only they have is a response each time. An empty table gives an empty table. Other columns are ignored.
+always responses, as is one record of the smallest page_id of equal payloads: of rows that repeat that page_id, one with the
+least url. Null page_ids come last and are never referred to: a payload
+that only they have is a response each time. Very long payloads are held one at a time when written, and with the records of one
+range (SPAN bytes, or one record) when read. An empty table gives an empty table. Other columns are ignored, whatever their names.
+
+read() opens archives of other writers as well: any members under archive/ and indexes/ (CDXJ, or gzip of it), offsets as numbers or
+text, records named by `filename`. Members that aren't needed may be compressed; of one that is needed that raises ValueError. Records
+without `urn:page` have no page_id.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ import re
 import struct
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -31,6 +37,8 @@ from .common import mapped, new_path, store_of, written
 
 #: Bytes after which a task begins a new archive, and records of one range read.
 ROLL, CHUNK = 256 << 20, 400
+#: Bytes of a range, unless one record has more.
+SPAN = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 WARC, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
 #: Fixed values of the ZIP format: signatures and record layouts.
@@ -82,8 +90,12 @@ class ZipWriter:
         self._put(END.pack(b"PK\x05\x06", 0, 0, min(n, FULL16), min(n, FULL16), FULL32, FULL32, 0))
 
 
-def members(f, size: int) -> dict[str, tuple[int, int]]:
-    """name -> (place of its first byte, length) of the stored members of a ZIP file, by range reads; f has read_at(n, at)."""
+class Compressed(ValueError):
+    """A member that is needed isn't stored."""
+
+
+def members(f, size: int) -> dict[str, tuple[int, int] | None]:
+    """name -> (place of its first byte, length) of the stored members of a ZIP file, by range reads, None for compressed ones; f has read_at(n, at)."""
     tail_at = max(0, size - (1 << 16) - END.size - LOCATOR.size)
     tail = f.read_at(size - tail_at, tail_at)
     at = tail.rfind(b"PK\x05\x06")
@@ -110,7 +122,8 @@ def members(f, size: int) -> dict[str, tuple[int, int]]:
                 place = next(wide) if place == FULL32 else place
             extra = extra[4 + k :]
         if method != 0:
-            raise ValueError(f"{name} is not stored")
+            found[name] = None
+            continue
         head = LOCAL.unpack(f.read_at(LOCAL.size, place))
         found[name] = (place + LOCAL.size + head[-2] + head[-1], packed)
     return found
@@ -130,15 +143,57 @@ def _record(page_id, url: str, payload: bytes, digest: str, refers_to: int | Non
 def parse(record: bytes) -> dict:
     """page_id, url, record_type, refers_to, payload_bytes, payload_digest and payload (None for a revisit) of one WARC record."""
     head, _, rest = record.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    http, _, payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
+    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
     number = lambda name: int(m[1]) if (m := re.search(r"<urn:page:(-?\d+)>", fields.get(name, ""))) else None
-    out = {"page_id": number("WARC-Record-ID"), "url": fields["WARC-Target-URI"], "record_type": fields["WARC-Type"], "refers_to": number("WARC-Refers-To")}
+    out = {"page_id": number("warc-record-id"), "url": fields.get("warc-target-uri", "").strip("<>"), "record_type": fields.get("warc-type", ""), "refers_to": number("warc-refers-to")}
+    payload, http = rest[: int(fields.get("content-length", len(rest)))], b""
+    if fields.get("content-type", "").startswith("application/http"):
+        http, _, payload = payload.partition(b"\r\n\r\n")
     if out["record_type"] == "revisit":
-        return out | {"payload": None, "payload_bytes": int(re.search(rb"(?i)^content-length: (\d+)", http, re.M)[1]), "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha256:")}
+        size = re.search(rb"(?i)^content-length: *(\d+)", http, re.M)
+        return out | {"payload": None, "payload_bytes": int(size[1]) if size else None, "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha256:")}
     return out | {"payload": payload, "payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest()}
 
 
+def index_lines(f, at: int, length: int, packed: bool) -> Iterator[dict]:
+    """The entries of a CDXJ member, read in pieces."""
+    unpack, rest = zlib.decompressobj(31) if packed else None, b""
+    for start in range(at, at + length, 1 << 20):
+        data = f.read_at(min(1 << 20, at + length - start), start)
+        while data:
+            rest += unpack.decompress(data) if packed else data
+            data = b""
+            if packed and unpack.eof:  # the next gzip member
+                data, unpack = unpack.unused_data, zlib.decompressobj(31)
+        *lines, rest = rest.split(b"\n")
+        yield from (json.loads(x[x.index(b"{") :]) for x in lines if b"{" in x)
+    if b"{" in rest:
+        yield json.loads(rest[rest.index(b"{") :])
+
+
+def ranges_of(f, size: int) -> Iterator[tuple[int, list[int], list[int]]]:
+    """(place of the member, offsets, lengths) of the archive's ranges: at most CHUNK records that lie within SPAN bytes."""
+    known = members(f, size)
+    archives = [n for n in known if n.startswith("archive/") and not n.endswith("/")]
+    found: dict[str, list[tuple[int, int]]] = {}
+    for name in sorted(n for n in known if n.startswith("indexes/") and re.search(r"\.cdxj?(\.gz)?$", n)):
+        if known[name] is None:
+            raise Compressed(f"{name} is not stored")
+        for e in index_lines(f, *known[name], name.endswith(".gz")):
+            member = f"archive/{e['filename'].rsplit('/', 1)[-1]}" if e.get("filename") else archives[0]
+            found.setdefault(member, []).append((int(e["offset"]), int(e["length"])))
+    for member, entries in sorted(found.items()):
+        if known.get(member) is None:
+            raise Compressed(f"{member} is not stored") if member in known else ValueError(f"no member {member}")
+        part: list[tuple[int, int]] = []
+        for at, length in sorted(set(entries)):
+            if part and (len(part) == CHUNK or at + length - part[0][0] > SPAN):
+                yield known[member][0], [p[0] for p in part], [p[1] for p in part]
+                part = []
+            part.append((at, length))
+        yield known[member][0], [p[0] for p in part], [p[1] for p in part]
+
+
 class ArchiveWriter:
     """One archive file; index lines are held until it closes, so an archive is rolled by size."""
 
@@ -182,9 +237,18 @@ def write(pages: DataFrame, folder: str | None = None, least: int = 100) -> Data
     folder = folder or new_path(spark, "warc")
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    equal = keyed.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    equal = written(spark, equal.where("n > 1 and first is not null").select("digest", "first"), "payloads")
-    typed = keyed.join(equal, "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("page_id").isNull() | (F.col("first") != F.col("page_id")), F.col("first")).alias("refers_to"))
+    same = keyed.where(F.octet_length("payload") >= least).groupBy("digest", "page_id", "url").agg(F.count(F.lit(1)).alias("n"))
+    equal = same.groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url", "n"))).alias("first"), F.sum("n").alias("n"))
+    equal = equal.where("n > 1 and first is not null").select("digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"), F.col("first.n").alias("repeats"))
+    equal = written(spark, equal, "payloads")
+    met = keyed.join(equal, "digest", "left")
+    is_first = F.expr("page_id <=> first and url <=> first_url")
+    columns = ["page_id", "url", "payload", "digest"]
+    typed = met.where(~is_first | F.expr("repeats is null or repeats = 1")).select(*columns, F.when(~is_first, F.col("first")).alias("refers_to"))
+    if not equal.where("repeats > 1").isEmpty():  # equal rows: summed to one, and dealt out again as one response and its revisits
+        again = keyed.join(equal.where("repeats > 1"), "digest").where(is_first).groupBy("digest").agg(*[F.first(c).alias(c) for c in ("page_id", "url", "payload", "repeats")])
+        again = again.select("*", F.explode(F.expr("sequence(1L, repeats)")).alias("nth"))
+        typed = typed.unionByName(again.select(*columns, F.when(F.col("nth") > 1, F.col("page_id")).alias("refers_to")))
 
     def make():
         state: dict = {"open": None, "done": []}
@@ -213,36 +277,29 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def ranges():
-        def step(batch: pa.RecordBatch) -> dict:
-            out: dict = {"archive": [], "base": [], "offsets": [], "lengths": []}
+        def step(batch: pa.RecordBatch) -> Iterator[dict]:
             for archive in batch.column("archive").to_pylist():
                 store, name = store_of(archive)
                 with store.open_input_file(name) as f:
-                    places = members(f, f.size())
-                    at, length = places[INDEX]
-                    found = sorted((e["offset"], e["length"]) for line in f.read_at(length, at).decode().splitlines() for e in [json.loads(line.split(" ", 2)[2])])
-                for k in range(0, len(found), CHUNK):
-                    part = found[k : k + CHUNK]
-                    for c, v in zip(out, (archive, places[WARC][0], [p[0] for p in part], [p[1] for p in part]), strict=True):
-                        out[c].append(v)
-            return out
+                    for base, offsets, lengths in ranges_of(f, f.size()):
+                        yield {"archive": [archive], "base": [base], "offsets": [offsets], "lengths": [lengths]}
 
         return step
 
     def records():
-        def step(batch: pa.RecordBatch) -> dict:
-            out: list[dict] = []
-            for row in batch.to_pylist():
+        def step(batch: pa.RecordBatch) -> Iterator[dict]:
+            for row in batch.to_pylist():  # a batch for each range
                 store, name = store_of(row["archive"])
                 with store.open_input_file(name) as f:
                     start, end = row["offsets"][0], row["offsets"][-1] + row["lengths"][-1]
                     block = f.read_at(end - start, row["base"] + start)
+                out: dict = {}
                 for at, length in zip(row["offsets"], row["lengths"], strict=True):
-                    got = parse(zlib.decompress(block[at - start : at - start + length], 31))
-                    if not payloads:
-                        del got["payload"]
-                    out.append(got)
-            return {c: [r[c] for r in out] for c in out[0]}
+                    raw = block[at - start : at - start + length]
+                    for c, v in parse(zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw).items():
+                        if payloads or c != "payload":
+                            out.setdefault(c, []).append(v)
+                yield out
 
         return step
 

@@ -1,5 +1,7 @@
 """The ten operators and the pipeline against brute force, on small tables with nulls, ties, repeats and clashing columns."""
 
+import base64
+import gzip
 import hashlib
 import json
 import random
@@ -72,9 +74,39 @@ def test_bpe_is_tiktoken(spark, sf, odd):
     assert back == {i: t.encode() for i, t, *_ in ODD if i and i >= 5}
 
 
+def test_wide_rows_merge_in_the_order_of_single_merges():
+    """Also where a merge makes a pair of smaller rank, as in random vocabularies."""
+    rng = random.Random(8)
+    for trial in range(60):
+        tokens, alphabet = [bytes([b]) for b in range(256)], b"abcd"[: 2 + trial % 3]
+        known = set(tokens)
+        for _ in range(60):
+            t = rng.choice([x for x in known if set(x) <= set(alphabet)]) + rng.choice([x for x in known if set(x) <= set(alphabet)])
+            known.add(t)
+        new = sorted(known - set(tokens), key=lambda t: rng.random())
+        raw = b"\n".join(base64.b64encode(t) + b" %d" % r for r, t in enumerate([*new, *tokens]))
+        enc = bpe.Encoder(raw, ".+")
+        for n in (1, 2, 3, 50, 300, 700):
+            piece = bytes(rng.choices(alphabet, k=n)) if trial % 2 else alphabet[:1] * n
+            ids = [enc.ranks[bytes([b])] for b in piece]
+            while True:  # by hand
+                pairs = [(r, i) for i in range(len(ids) - 1) if (r := enc.ranks.get(enc.tokens[ids[i]] + enc.tokens[ids[i + 1]])) is not None]
+                if not pairs:
+                    break
+                r, i = min(pairs)
+                ids[i : i + 2] = [r]
+            assert list(enc._wide(piece)) == ids
+
+
 def test_bpe_query(spark, sf):
+    import tiktoken
+
+    with open(RANKS, "rb") as f:
+        ref = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(f.read()), special_tokens={})
     r = {r.doc_id: r for r in queries.QUERIES["op1_byte_bpe"](spark, sf).collect()}
-    for d in spark.read.parquet(f"{sf}/documents.parquet").limit(50).collect():
+    for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = ref.encode_ordinary(d.text or "")
+        assert (r[d.doc_id].n_tokens, r[d.doc_id].ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r[d.doc_id].decoded_sha256 == hashlib.sha256((d.text or "").encode()).hexdigest()
 
 
@@ -85,7 +117,7 @@ def test_url_split_and_rules():
     assert url_rules.split("HTTP://Ex.COM/En/a?b") == ("ex.com", "/En/a")
     assert url_rules.split(None) == url_rules.split("x.com/a") == ("", "")
     assert url_rules.split("a://b#c/d") == ("b", "")
-    rules = [url_rules.host_rule(*r) for r in queries.URL_RULES] + [url_rules.name_rule("ads"), url_rules.pattern_rule(r"\.exe$")]
+    rules = [url_rules.host_rule(*r) for r in queries.URL_RULES] + [url_rules.pattern_rule("^ads^"), url_rules.pattern_rule(".exe|")]
     rng = random.Random(3)
     hosts = ["com", "example.com", "m.example.com", "xexample.com", "net", "a.example.net", "example.org", "com.org", "ads.io", "COM"]
     index = url_rules.RuleIndex(rules, Counter())
@@ -98,6 +130,36 @@ def test_url_split_and_rules():
         assert index.judge(host, path)[:2] == expected, (host, path)
 
 
+def test_pattern_syntax_and_candidates():
+    """What the index fetches and runs is what running every rule finds."""
+    texts = ["||ads.example.com^", "/banner/*.gif|", "|http.org", "^popup^", "track", "a*promo-x", "||cdn^*img", "*ter*ban*", ".exe|", "foo*bar^", "|m.|", "ad"]
+    kept = [t for t in texts if t not in ("|m.|", "ad")]
+    for bad in ("ad", "*", "^", "a*b", "||"):
+        with pytest.raises(ValueError, match="no token"):
+            url_rules.pattern_rule(bad)
+    rules = [url_rules.pattern_rule(t) for t in kept]
+    rng = random.Random(4)
+    parts = ["ads", "example", ".", "com", "/", "banner", "gif", "http", "org", "popup", "track", "er", "promo", "-x", "cdn", "img", "ter", "ban", "foo", "bar", "a", "x", "7"]
+    for counts in (Counter(), Counter({"ads": 9, "~tra": 9, "~pop": 3, "banner": 4})):
+        index, hits = url_rules.RuleIndex(rules, counts), 0
+        for _ in range(6000):
+            url = "".join(rng.choices(parts, k=rng.randint(1, 7)))
+            every = [r.text for r in rules if re.search(r.pattern, url, re.S)]
+            hits += bool(every)
+            assert index.judge(url, "")[2] == min(every, default=None), url
+        assert hits > 500
+    fits = lambda rule, url: bool(re.search(url_rules.pattern_rule(rule).pattern, url))
+    assert fits("||ads.example.com^", "m.ads.example.com/x") and not fits("||ads.example.com^", "bads.example.com/") and not fits("||ads.example.com^", "ads.example.comx")
+    assert fits("/banner/*.gif|", "x.org/banner/1/2.gif") and not fits("/banner/*.gif|", "x.org/banner/1.gifx") and fits("^popup^", "popup") and not fits("^popup^", "popups.org")
+
+
+def test_long_rule_lists(spark):
+    rules = [url_rules.pattern_rule(f"||host{i}.example.org^path{i}^") for i in range(20_000)]
+    pages = spark.createDataFrame([(i, f"http://w.host{i * 7}.example.org/path{i * 7}/x") for i in range(300)], "page_id long, url string")
+    got = url_rules.judge(pages, [], rules).collect()
+    assert all(r.verdict == "block" and r.pattern == f"||host{r.page_id * 7}.example.org^path{r.page_id * 7}^" for r in got) and len(got) == 300
+
+
 def test_url_query_on_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (None, "nothing", None), (2, "http://m.example.com/en/7", None)], "page_id long, url string, html string")
     got = url_rules.judge(pages.withColumn("host", F.lit(1)), [url_rules.host_rule(*r) for r in queries.URL_RULES]).collect()
@@ -399,7 +461,7 @@ def test_warc(spark, tmp_path):
     got = warc.read(archives).collect()
     assert sorted((str(r.page_id), r.record_type, str(r.refers_to), r.payload_bytes) for r in got) == sorted(
         [("5", "revisit", "3", 123), ("3", "response", "None", 123), ("9", "revisit", "3", 123), ("None", "revisit", "3", 123), ("4", "response", "None", 5), ("6", "response", "None", 5), ("7", "response", "None", 0)]
-        + [("8", "response", "None", 203)] * 2 + [("10", "revisit", "8", 203)]
+        + [("8", "response", "None", 203), ("8", "revisit", "8", 203), ("10", "revisit", "8", 203)]
     )
     assert all(r.payload is None if r.record_type == "revisit" else hashlib.sha256(r.payload).hexdigest() == r.payload_digest for r in got)
     for a in archives.collect():
@@ -410,6 +472,36 @@ def test_warc(spark, tmp_path):
     assert warc.read(warc.write(pages.limit(0), f"file://{tmp_path}/none")).count() == 0
 
 
+def test_archives_of_other_writers(spark, tmp_path):
+    """Several archive members, gzipped and plain indexes, numbers as text, foreign records, compressed members that nobody needs."""
+
+    def record(kind, url, body, content, digest):
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{url}>\r\nWARC-Target-URI: {url}\r\nWARC-Payload-Digest: {digest}\r\nContent-Type: {content}\r\nContent-Length: {len(body)}\r\n\r\n"
+        return gzip.compress(head.encode() + body + b"\r\n\r\n")
+
+    def archive(name, packed=zipfile.ZIP_STORED):
+        one, other, lines = b"", b"", []
+        for i in range(900):
+            r = record("response", f"http://a/{i}", b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\nbody %d" % i, "application/http; msgtype=response", "sha1:X")
+            lines.append(f'a {i} {{"url": "http://a/{i}", "offset": "{len(one)}", "length": "{len(r)}", "filename": "one.warc.gz"}}\n')
+            one += r
+        r = record("resource", "http://b/", b"plain \xff", "text/plain", "sha1:Y")
+        other += r
+        lines.append(f'b 1 {{"offset": 0, "length": {len(r)}, "filename": "other.warc.gz"}}\n')
+        with zipfile.ZipFile(f"{tmp_path}/{name}", "w") as z:
+            z.writestr("pages/pages.jsonl", "{}\n" * 50, zipfile.ZIP_DEFLATED)
+            z.writestr("archive/one.warc.gz", one, packed)
+            z.writestr("archive/other.warc.gz", other)
+            z.writestr("indexes/index.cdx.gz", gzip.compress("".join(lines[:500]).encode()) + gzip.compress("".join(lines[500:]).encode()))
+        return [(f"file://{tmp_path}/{name}",)]
+
+    got = warc.read(spark.createDataFrame(archive("a.wacz"), "archive string")).collect()
+    assert {(r.url, bytes(r.payload)) for r in got} == {(f"http://a/{i}", b"body %d" % i) for i in range(900)} | {("http://b/", b"plain \xff")}
+    assert all(r.page_id is None and r.payload_digest == hashlib.sha256(r.payload).hexdigest() for r in got)
+    with pytest.raises(Exception, match="is not stored"):
+        warc.read(spark.createDataFrame(archive("b.wacz", zipfile.ZIP_DEFLATED), "archive string")).collect()
+
+
 def test_zip_directories_of_other_writers(tmp_path):
     from pyarrow import fs
 
