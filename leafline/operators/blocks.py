@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +16,7 @@ from ..functions.text import siphash13
 
 BLOCKS = (
     "doc_id long, ord int, block_id string, kind string, info string, fenced boolean, ordered boolean, task boolean, label string, spelling string, html_type int, start long, end long, "
-    "source_hash long, section_path array<string>, ast_path array<int>, payload string, outcome string"
+    "source_hash long, section_path array<string>, ast_path array<int>, payload string, outcome string, refs string, headings array<string>"
 )
 
 
@@ -53,8 +54,21 @@ def outcome(doc: Document, b: Block) -> str | None:
         return "failed"
 
 
+def _title(b: Block, payload: str, refs: dict[str, str]) -> str:
+    """A heading's own text."""
+    if b.spelling != "html":
+        return markdown.heading_text(payload, refs)
+    try:
+        return " ".join(t.strip() for t, _ in segments(payload))
+    except TooDeep:
+        return ""
+
+
 def scan(documents: DataFrame) -> DataFrame:
-    """The blocks of documents(doc_id, text, format: markdown or html). Null texts and texts nested too deeply have none: see rejects()."""
+    """The blocks of documents(doc_id, text, format: markdown or html). Null texts and texts nested too deeply have none: see rejects().
+
+    refs are the document's link definitions (JSON), at the blocks that may use one; headings the texts of the open headings.
+    """
 
     def step(rows: dict) -> dict:
         out: dict = {f.split()[0]: [] for f in BLOCKS.split(", ")}
@@ -63,11 +77,15 @@ def scan(documents: DataFrame) -> DataFrame:
             doc = None if text is None else read(text, form)
             if doc is None or doc.too_deep:
                 continue
+            known = markdown.references(text) if form != "html" and "]:" in text else {}
+            titles: dict[str, str] = {}
             for i, b in enumerate(doc.blocks):
                 part = doc.raw[b.start : b.end]
                 slices.append(part)
                 payload = part.decode("utf-8", "replace")
-                values = (doc_id, i, b.block_id, b.kind, b.info, b.fenced, b.ordered, b.task, b.label, b.spelling, b.html_type, b.start, b.end, None, b.section, b.path, payload, outcome(doc, b))
+                if b.kind.startswith("heading"):
+                    titles[b.block_id] = _title(b, payload, known)
+                values = (doc_id, i, b.block_id, b.kind, b.info, b.fenced, b.ordered, b.task, b.label, b.spelling, b.html_type, b.start, b.end, None, b.section, b.path, payload, outcome(doc, b), json.dumps(known) if known and b.spelling != "html" and "[" in payload else None, [titles.get(x, "") for x in b.section])
                 for c, v in zip(out, values, strict=True):
                     out[c].append(v)
         out["source_hash"] = siphash13(slices).astype("int64").tolist()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,8 +42,13 @@ def visible(text: Column) -> Column:
 
 
 def bounded_warnings(warnings: Column) -> Column:
-    """The first warnings, each cut to a number of bytes between characters (the cut is of ASCII-safe length by characters first)."""
-    short = lambda w: F.when(F.octet_length(w) <= WARNING_BYTES, w).otherwise(F.substring(w, 1, WARNING_BYTES))
+    """The first warnings, each cut to a number of bytes between characters."""
+
+    def short(w: Column) -> Column:
+        # a character has four bytes at most, so one of four cuts is between characters
+        cuts = [F.substring(w.cast("binary"), 1, n).cast("string") for n in range(WARNING_BYTES, WARNING_BYTES - 4, -1)]
+        return F.when(F.octet_length(w) <= WARNING_BYTES, w).otherwise(F.coalesce(*[F.when(F.is_valid_utf8(c), c) for c in cuts]))
+
     return F.transform(F.slice(warnings, 1, WARNINGS), short)
 
 
@@ -99,20 +105,30 @@ def _check_html(source: str, result: str) -> tuple[str, str] | None:
 
 
 def verdicts(units: DataFrame, results: DataFrame) -> DataFrame:
-    """(doc_id, unit_id, status, accepted, rejected_by, reason, answer) of units(doc_id, unit_id, kind, spelling, html_type, payload, sent) against results(doc_id, unit_id, translated). A unit without exactly one result is rejected by schema."""
-    got = results.groupBy("doc_id", "unit_id").agg(F.count(F.lit(1)).alias("n"), F.min("translated").alias("translated"))
-    both = units.join(got, ["doc_id", "unit_id"], "left").select("doc_id", "unit_id", "kind", "spelling", "html_type", "payload", "sent", "n", "translated")
+    """(doc_id, unit_id, status, accepted, rejected_by, reason, answer) of units(doc_id, unit_id, kind, spelling, html_type, payload, sent) against results(doc_id, unit_id, translated). A unit without exactly one result is rejected by schema.
 
-    def judge(kind, spelling, html_type, payload, was_sent, n, new) -> tuple[str | None, tuple[str, str] | None]:
+    Further columns of units: refs (JSON: the link definitions that it uses), urls and code (whether destinations and code spans must
+    stay); of results: error (why the provider gave none).
+    """
+    error = F.min("error") if "error" in results.columns else F.lit(None).cast("string")
+    got = results.groupBy("doc_id", "unit_id").agg(F.count(F.lit(1)).alias("n"), F.min("translated").alias("translated"), error.alias("error"))
+    extra = {"refs": F.lit(None).cast("string"), "urls": F.lit(True), "code": F.lit(False)}
+    units = units.withColumns({c: v for c, v in extra.items() if c not in units.columns})
+    inputs = ("doc_id", "unit_id", "kind", "spelling", "html_type", "payload", "sent", "refs", "urls", "code", "n", "error", "translated")
+    both = units.join(got, ["doc_id", "unit_id"], "left").select(*inputs)
+
+    def judge(kind, spelling, html_type, payload, was_sent, refs, urls, code, n, error, new) -> tuple[str | None, tuple[str, str] | None]:
+        if error is not None:
+            return None, ("provider", error)
         if n != 1 or new is None:
             return None, ("schema", "missing" if not n else "duplicated" if n > 1 else "null")
         text, reason = received(kind, spelling, html_type, payload, was_sent, new)
-        fault = ("per_kind", reason) if reason else check_unit(kind, spelling, payload, text)
+        fault = ("per_kind", reason) if reason else check_unit(kind, spelling, payload, text, json.loads(refs) if refs else None, urls, code)
         return (None if fault else text), fault
 
     def step(rows: dict) -> dict:
         out: dict = {c: [] for c in ("doc_id", "unit_id", "status", "accepted", "rejected_by", "reason", "answer")}
-        columns = [rows[c] for c in ("doc_id", "unit_id", "kind", "spelling", "html_type", "payload", "sent", "n", "translated")]
+        columns = [rows[c] for c in inputs]
         for doc_id, unit, *rest in zip(*columns, strict=True):
             text, fault = judge(*rest)
             values = (doc_id, unit, "fallback_source" if fault else "translated", text, fault and fault[0], fault and cut_bytes(fault[1], WARNING_BYTES)[0], rest[-1])
@@ -123,8 +139,8 @@ def verdicts(units: DataFrame, results: DataFrame) -> DataFrame:
     return mapped(both, step, "doc_id long, unit_id string, status string, accepted string, rejected_by string, reason string, answer string")
 
 
-def gate_fault(before: str, after: str, form: str) -> tuple[int, str] | None:
-    """(place, reason) of the first block at which a regenerated document leaves its source's structure: kinds, tags, the bytes between blocks, boundaries."""
+def gate_fault(before: str, after: str, form: str, urls: bool = True) -> tuple[int, str] | None:
+    """(place, reason) of the first block at which a regenerated document leaves its source's structure: kinds, tags, link destinations (with urls), link definitions, the bytes between blocks, boundaries."""
     read = lambda t: html_document(t) if form == "html" else markdown.document(t)
     a, b = read(before), read(after)
     for i, (x, y) in enumerate(zip(a.blocks, b.blocks, strict=False)):
@@ -136,20 +152,31 @@ def gate_fault(before: str, after: str, form: str) -> tuple[int, str] | None:
                 return i, "tags differ"
         elif x.kind == "list-item" and (x.ordered, x.task) != (y.ordered, y.task):
             return i, "list item differs"
+        elif urls and x.kind not in ("code-block", "html") and (p := a.raw[x.start : x.end]) != (q := b.raw[y.start : y.end]):
+            links = [markdown.inline(part.decode("utf-8", "replace"), refs).destinations for part, refs in ((p, refs_of(before)), (q, refs_of(after)))]
+            if links[0] != links[1]:
+                return i, "destinations differ"
     if len(a.blocks) != len(b.blocks):
         return min(len(a.blocks), len(b.blocks)), f"{len(a.blocks)} blocks became {len(b.blocks)}"
+    if form != "html" and (label := definition_change(before, after)) is not None:
+        return next((i for i, y in enumerate(b.blocks) if f"[{label}]".encode() in b.raw[y.start : y.end].lower()), 0), f"definition of {label} differs"
     for i, (x, y) in enumerate(zip(markdown.gaps(a), markdown.gaps(b), strict=True)):
         if a.raw[x[0] : x[1]] != b.raw[y[0] : y[1]]:
             return max(0, min(i, len(a.blocks) - 1)), "bytes between blocks differ"
     return None
 
 
-def gate(documents: DataFrame, regenerated: DataFrame) -> DataFrame:
+def refs_of(text: str) -> dict[str, str]:
+    """The link definitions of a document; most have none, which needs no parse."""
+    return markdown.references(text) if "]:" in text else {}
+
+
+def gate(documents: DataFrame, regenerated: DataFrame, urls: bool = True) -> DataFrame:
     """(doc_id, place, reason) of regenerated(doc_id, text) that fail against documents(doc_id, text, format). Unchanged texts pass unread."""
     changed = regenerated.join(documents.select("doc_id", "format", F.col("text").alias("before")), "doc_id").where("text <> before")
 
     def step(rows: dict) -> dict:
-        found = [(d, f) for d, a, b, form in zip(rows["doc_id"], rows["before"], rows["text"], rows["format"], strict=True) if (f := gate_fault(a, b, form))]
+        found = [(d, f) for d, a, b, form in zip(rows["doc_id"], rows["before"], rows["text"], rows["format"], strict=True) if (f := gate_fault(a, b, form, urls))]
         return {"doc_id": [d for d, _ in found], "place": [f[0] for _, f in found], "reason": [f[1] for _, f in found]}
 
     return mapped(changed.select("doc_id", "before", "text", "format"), step, "doc_id long, place int, reason string")
@@ -157,7 +184,7 @@ def gate(documents: DataFrame, regenerated: DataFrame) -> DataFrame:
 
 def definition_change(source: str, translated: str) -> str | None:
     """The first label whose link definition was added, lost or changed."""
-    a, b = markdown.references(source), markdown.references(translated)
+    a, b = refs_of(source), refs_of(translated)
     return next((k for k in [*a, *b] if a.get(k) != b.get(k)), None)
 
 

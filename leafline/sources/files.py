@@ -17,11 +17,13 @@ def html_marker(text: Column) -> Column:
 
 def read_documents(spark: SparkSession, path: str, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
     """(path, text, format) of the files at path, and (path, reason) of those over the cap or not UTF-8."""
-    files = spark.read.format("binaryFile").load(path)
+    # the source skips the content of files that its filter on length leaves out
+    every = spark.read.format("binaryFile").load(path)
+    files = every.where(F.col("length") <= cap)
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    judged = files.select("path", F.when(F.col("length") > cap, "oversize").when(text.isNull(), "not_utf8").alias("reason"), text.alias("text"))
+    judged = files.select("path", F.when(text.isNull(), "not_utf8").alias("reason"), text.alias("text"))
     form = F.when(F.col("path").rlike(r"(?i)\.html?$") | html_marker(F.col("text")).isNotNull(), "html").otherwise("markdown")
-    return judged.where("reason is null").select("path", "text", form.alias("format")), judged.where("reason is not null").select("path", "reason")
+    return judged.where("reason is null").select("path", "text", form.alias("format")), judged.where("reason is not null").select("path", "reason").unionByName(every.where(F.col("length") > cap).select("path", F.lit("oversize").alias("reason")))
 
 
 def capped(df: DataFrame, text: str, cap: int) -> tuple[DataFrame, DataFrame]:

@@ -59,6 +59,92 @@ def test_cache_answers_and_equal_units_are_sent_once(spark, tmp_path):
     assert set(texts(again).values()) == {"# same\n"}
 
 
+def test_requests_carry_prompt_glossary_context_and_reasons(spark, tmp_path):
+    p = profile.load('slug = "s"\nversion = "7"\n[system]\nprompt = "From {{source_language}} to {{target_language}}."\n[[glossary]]\nsource = "Para"\ntarget = "Absatz"\n[[glossary]]\nsource = "para"\ntarget = "Stelle"\nsections = ["t"]\n')
+    log_ = str(tmp_path / "requests")
+
+    def provider(request):
+        with open(log_, "a") as f:
+            f.write(json.dumps([request.system, request.instruction, request.prompt, request.source_language, request.target_language]) + "\n")
+        return [u["payload"].replace("para", "Stelle") if u["reason"] else "# broken" if u["kind"] == "paragraph" else u["payload"] for u in request.units]
+
+    docs = spark.createDataFrame([(1, "para zero\n\n# T\n\npara [l](u)\n", "markdown")], SCHEMA)
+    out = engine.run(docs, engine.Options(source_language="en", target_language="de", profile=p), provider=provider)
+    assert texts(out) == {1: "Stelle zero\n\n# T\n\nStelle [l](u)\n"}
+    seen = [json.loads(x) for x in open(log_)]
+    assert {(s[0], *s[3:]) for s in seen} == {("From en to de.", "en", "de")} and "rejected" in seen[-1][1] and "rejected" not in seen[0][1]
+    first, again = ({u["unit_id"]: u for u in json.loads(s[2])["units"]} for s in (seen[0], seen[-1]))
+    assert json.loads(first["p-0001"]["terms"])[0]["target"] == "Absatz" and json.loads(first["p-0003"]["terms"])[0]["target"] == "Stelle"
+    assert first["p-0003"]["context"]["preceding_kind"] == "heading-1" and "reason" not in first["p-0003"]
+    assert set(again) == {"p-0001", "p-0003"} and again["p-0003"]["rejected_by"] == "fragment"
+    assert {(r.profile, r.source_language) for r in out["entries"].collect()} == {("s@7", "en")}
+    # each axis keeps old answers from being taken
+    never = lambda request: 1 / 0
+    assert texts(engine.run(docs, engine.Options(source_language="en", target_language="de", profile=p), provider=never, known=out["entries"])) == texts(out)
+    for other in (engine.Options(source_language="fr", target_language="de", profile=p), engine.Options(source_language="en", target_language="de", profile=p, provider="x"), engine.Options(source_language="en", target_language="de")):
+        with pytest.raises(engine.ProviderError):
+            engine.run(docs, other, provider=never, known=out["entries"])
+
+
+def test_transient_errors_pass_and_fatal_ones_keep_progress(spark, tmp_path):
+    def flaky(request):
+        mark = tmp_path / str(abs(hash(request.prompt)))
+        if not mark.exists():
+            mark.touch()
+            raise engine.Transient("busy", 1)
+        return [u["payload"] for u in request.units]
+
+    docs = spark.createDataFrame([(1, "one\n", "markdown"), (2, "two\n", "markdown")], SCHEMA)
+    assert engine.run(docs, engine.Options(unit_retries=0), provider=flaky)["attempts"].where("status = 'translated'").count() == 2
+
+    def always(request):
+        raise engine.Transient("busy", 0)
+
+    out = engine.run(docs, engine.Options(unit_retries=0, transient_retries=1), provider=always)
+    assert texts(out) == {1: "one\n", 2: "two\n"} and {r.reason for r in out["attempts"].collect()} == {"transient: busy"}
+
+    def half(request):
+        return [u["payload"] if "one" in u["payload"] else 1 / 0 for u in request.units]
+
+    with pytest.raises(engine.ProviderError) as e:
+        engine.run(docs, provider=half)
+    assert [r.translated for r in e.value.entries.collect()] == ["one\n"] or [r.translated for r in e.value.entries.collect()] == ["one"]
+    many = engine.run(docs, engine.Options(unit_retries=0), translator=lambda p, k: [*p, "more"])
+    assert {r.rejected_by for r in many["attempts"].collect()} == {"provider"}
+
+
+def test_link_definitions_count_in_units_and_documents(spark):
+    from leafline.operators import validate
+
+    text = "see [the x][a] here\n\n[a]: http://x\n[b]: http://y\n"
+    docs = spark.createDataFrame([(1, text, "markdown")], SCHEMA)
+    swap = lambda payloads, kinds: [p.replace("[a]", "[b]") for p in payloads]
+    out = engine.run(docs, engine.Options(unit_retries=0), swap)
+    assert texts(out) == {1: text} and out["attempts"].first().reason == "destinations differ"
+    free = profile.Profile(preserve_urls=False)
+    assert texts(engine.run(docs, engine.Options(unit_retries=0, profile=free), swap)) == {1: text.replace("x][a]", "x][b]")}
+    code = profile.Profile(preserve_code_identifiers=True)
+    docs = spark.createDataFrame([(1, "call `f` now\n", "markdown")], SCHEMA)
+    rename = lambda payloads, kinds: [p.replace("`f`", "`g`") for p in payloads]
+    assert texts(engine.run(docs, engine.Options(unit_retries=0, profile=code), rename)) == {1: "call `f` now\n"} and texts(engine.run(docs, engine.Options(unit_retries=0), rename)) == {1: "call `g` now\n"}
+    assert validate.gate_fault("a [l](u)\n", "a [l](v)\n", "markdown") == (0, "destinations differ") and validate.gate_fault("a [l](u)\n", "a [l](v)\n", "markdown", False) is None
+    assert "definition of" in validate.gate_fault("a\n\n[k]: http://x\n", "a\n\n[k]: http://z\n", "markdown")[1]
+
+
+def test_warnings_are_cut_by_bytes(spark):
+    from leafline.operators import validate
+
+    df = spark.createDataFrame([(["é" * 600, "x" * 600, "a" + "日" * 300, "🙂" * 200, "ok"],)], "w array<string>")
+    got = df.select(validate.bounded_warnings(F.col("w")).alias("w")).first().w
+    assert got == ["é" * 256, "x" * 512, "a" + "日" * 170, "🙂" * 128, "ok"]
+
+
+def test_packing_is_linear(spark):
+    assert packing.batches([5, 5, 5, 20, 1, 1], [0] * 6, 10, 2) == [0, 0, 1, 2, 3, 3]
+    df = spark.range(60_000).select(F.lit(1).alias("d"), "id", F.lit(10).alias("c"))
+    assert packing.pack(df, "d", "id", "c", 100, 32).agg(F.max("batch")).first()[0] == 5999
+
+
 def test_gate_hard(docs, monkeypatch):
     from leafline.operators import validate
 
@@ -167,6 +253,8 @@ def test_profile(spark):
     p = profile.load('slug = "s"\nodd = 1\n[system]\nprompt = "p"\nprompt_html = "h"\n[batching]\nmax_units_per_batch = 0\n[[glossary]]\nsource = "a"\ntarget = "b"\nsections = ["S"]\n')
     assert p.max_units_per_batch is None and len(p.warnings) == 2 and profile.prompt_for(p, "html") == "h"
     assert profile.glossary_table(spark, p).first().scope == "section"
+    p = profile.load('system = 1\n[batching]\nmax_units_per_batch = "many"\noutput_expansion_factor = true\nextra = 2\n[constraints]\npreserve = 1\n')
+    assert p.max_units_per_batch is None and p.output_expansion_factor is None and len(p.warnings) == 5
     with pytest.raises(profile.ProfileError):
         profile.load("=")
     assert profile.default().slug == "default"
@@ -179,4 +267,6 @@ def test_stream(spark, tmp_path):
     q = ingest.to_cache(stream, str(tmp_path / "cache"), str(tmp_path / "cp"), "block_id", "payload").start()
     q.processAllAvailable()
     q.stop()
+    seqs = [r.seq for r in ingest.replayed(spark, str(tmp_path / "cache")).collect()]
+    assert len(set(seqs)) == len(seqs) == 5
     assert {r.key for r in ingest.replayed(spark, str(tmp_path / "cache")).collect()} == {"h1-0001", "p-0002", "li-0003", "li-0004", "t-0005"}
