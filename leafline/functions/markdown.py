@@ -450,11 +450,26 @@ def inline(text: str, refs: dict[str, str] | None = None) -> Inline:
 
 def plain_text(text: str, refs: dict[str, str] | None = None) -> str:
     """A heading's text without marks; soft breaks are spaces."""
-    out, at = [], 0
-    for m in CODE_SPAN.finditer(text):
-        out += [_plain(text[at : m.start()], refs), m[2].strip()]
-        at = m.end()
-    return "".join([*out, _plain(text[at:], refs)]).replace("\n", " ").strip()
+    codes: list[str] = []
+
+    def held(m: re.Match) -> str:  # marks around a code span, as of a link, are read without it
+        codes.append(m[2].strip())
+        return f"\ue000{len(codes) - 1}\ue001"
+
+    plain = _plain(CODE_SPAN.sub(held, text.replace("\ue000", "")), refs)
+    return re.sub("\ue000(\\d+)\ue001", lambda m: codes[int(m[1])], plain).replace("\n", " ").strip()
+
+
+def visible_body(fragment: str, refs: dict[str, str] | None = None) -> str:
+    """The plain text of a fragment without the marks of its blocks: headings, list items and quotes."""
+
+    def texts(nodes: list[Node]) -> list[str]:
+        return [x for n in nodes for x in (texts(n.children) if n.children else [n.text or ""])]
+
+    nodes = parse_lines(split_lines(fragment.encode())[0])
+    if all(n.kind in ("heading", "list", "blockquote") for n in nodes):
+        return " ".join(plain_text(t, refs) for t in texts(nodes))
+    return plain_text(fragment, refs)
 
 
 def _plain(text: str, refs: dict[str, str] | None) -> str:

@@ -83,7 +83,7 @@ def check_unit(kind: str, spelling: str, source: str, result: str, refs: dict[st
     if kind == "code-block":
         info = lambda t: next((n.info for n in markdown.parse_lines(markdown.split_lines(t.encode())[0])), None) or ""
         return None if info(source) == info(result) else ("per_kind", "fence info differs")
-    if has_visible_text(markdown.plain_text(source, refs)) and not has_visible_text(markdown.plain_text(result, refs)):
+    if has_visible_text(markdown.visible_body(source, refs)) and not has_visible_text(markdown.visible_body(result, refs)):
         return "text", "no visible text"
     a, b = markdown.inline(source, refs), markdown.inline(result, refs)
     if urls and a.destinations != b.destinations:

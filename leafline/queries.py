@@ -401,7 +401,10 @@ def boundaries(spark, sf_dir):
     return validate.broken_boundaries(t, "conv_id", "turn", "s", "e", "total").select("conv_id", "turn")
 
 
-@query("V28_bounded_warnings", "select conv_id, cast(least(count(*), 8) as int) as kept, max(least(length(text), 512)) as longest from (select *, row_number() over (partition by conv_id order by turn) as n from conversations) where n <= 8 group by conv_id")
+@query("V28_bounded_warnings", """
+with w as (select conv_id, text, row_number() over (partition by conv_id order by turn) as n from conversations)
+select conv_id, cast(count(*) as int) as kept, cast(max(list_max(list_filter(range(0, 513), lambda k: octet_length(encode(left(text, k))) <= 512 and k <= length(text)))) as bigint) as longest from w where n <= 8 group by conv_id
+""")
 def warnings(spark, sf_dir):
     t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("w"))
     kept = validate.bounded_warnings(F.transform("w", lambda x: x.text))
@@ -747,3 +750,6 @@ def verdicts_of_language(spark, sf_dir):
 def direction(spark, sf_dir):
     label = F.when(F.col("turn") % 3 == 0, "Arabic (Egypt)").when(F.col("turn") % 3 == 1, "fr-CA").otherwise("English")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", language.direction(label).alias("dir"))
+
+
+from . import structure_queries  # noqa: E402, F401  adds its queries to QUERIES and SQL
