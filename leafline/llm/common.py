@@ -37,9 +37,32 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Paths made within tracked(), by application.
+_tracked: dict[str, list[str]] = {}
+_tracking: list[str] = []
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/leafline/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/leafline/{tag}-{uuid.uuid4().hex}"
+    if _tracking:
+        _tracked.setdefault(_tracking[-1], []).append(path)
+    return path
+
+
+@contextlib.contextmanager
+def tracked(spark: SparkSession) -> Iterator[None]:
+    """Remembers the paths that are made within, for sweep()."""
+    _tracking.append(spark.sparkContext.applicationId)
+    try:
+        yield
+    finally:
+        _tracking.pop()
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes what was made within tracked(): for a caller who knows that nothing reads it any more."""
+    drop(spark, *_tracked.pop(spark.sparkContext.applicationId, []))
 
 
 def store_of(uri: str) -> tuple[fs.FileSystem, str]:
