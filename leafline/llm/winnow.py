@@ -9,7 +9,8 @@ halves, the windows' minima likewise, so that a text costs a fixed number of pas
 
 neighbours() gives each document the one that follows it by descending doc_id: documents are dealt to
 ranges of doc_id, and the first row of each range also goes to the range before. Only the ranges' bounds
-and heads, a row a range, come to the driver; texts are shuffled once.
+and heads, a row a range, come to the driver; texts are shuffled once. A doc_id or null that many rows share
+fills several ranges, dealt by the hash of the text.
 
 Cases: null text counts as empty. An empty text selects nothing; a text shorter than k is one gram. Two empty
 fingerprints are alike (1), an empty one and another are not (0). Rows that repeat a doc_id follow each other by
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import mapped, texts
 
 K, W, SHARE = 16, 48, 8
+EXACT = 2.0**53  # below it a doc_id and its double are one and the same
 _R = 0x9E3779B97F4A7C15 | 1
 
 
@@ -110,15 +112,23 @@ def neighbours(docs: DataFrame, make, schema: str) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bounds = sorted(set(docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []))
-    above = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b >= F.col("doc_id").cast("double"))) if bounds else F.lit(0)
-    keyed = rows.withColumn("h", F.xxhash64("text")).withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(above).cast("int"))
+    number = F.col("doc_id").cast("double")
+    bounds = sorted(docs.select(number.alias("d")).approxQuantile("d", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else [])
+    bounds = [b for i, b in enumerate(bounds) if abs(b) < EXACT or b not in bounds[:i]]
+    every = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known")).first()
+    spare = parts * (every.n - every.known) // max(1, every.n)
+    met = lambda test: F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), test)) if bounds else F.lit(0)
+    above, equal = met(lambda b: b >= number), met(lambda b: b == number)
+    # a doc_id that is several bounds fills as many ranges, and null doc_ids as many as their share, by the text's hash
+    split = lambda n: F.least(F.floor((F.col("h") / 2.0**64 + 0.5) * n), n - 1)
+    part = F.when(number.isNull(), len(bounds) + split(F.lit(spare + 1))).when(equal > 1, above - equal + 1 + split(equal)).otherwise(above)
+    keyed = rows.withColumn("h", F.xxhash64("text")).withColumn("part", part.cast("int"))
     heads = sorted((r.part, r.first) for r in keyed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("down"), "h")).alias("first")).collect())
     guests = [(first.down, first.h, heads[i - 1][0]) for i, (_, first) in enumerate(heads)]  # the head of a range follows the last of the range before; the first head, all
     known = spark.createDataFrame(guests, "down long, head long, target int")
     sent = keyed.join(F.broadcast(known), F.bitwise_not("doc_id").eqNullSafe(known.down) & (keyed.h == known["head"])).select("doc_id", "text", "h", F.col("target").alias("part"), F.lit(1).alias("guest"))
     dealt = keyed.select("doc_id", "text", "h", "part", F.lit(0).alias("guest")).unionByName(sent)
-    dealt = dealt.repartitionById(max(1, len(bounds) + 1), "part").sortWithinPartitions("guest", F.desc_nulls_last("doc_id"), "h", "text")
+    dealt = dealt.repartitionById(len(bounds) + 1 + spare, "part").sortWithinPartitions("guest", F.desc_nulls_last("doc_id"), "h", "text")
 
     def start():
         process = make()

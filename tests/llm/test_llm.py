@@ -221,6 +221,22 @@ def test_winnow_query(spark, sf):
             assert r.near_next == winnow.likeness(np.unique(winnow.winnow(t)[1]), np.unique(winnow.winnow(after)[1]))
 
 
+def test_neighbours_of_shared_doc_ids(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    for hot, nulls, rest in ((300, 0, 300), (300, 300, 100), (0, 200, 0), (3, 2, 1)):
+        ids = [7] * hot + [None] * nulls + [(i - rest // 2) * 3 for i in range(rest)]
+        docs = spark.createDataFrame([(d, f"text {i}") for i, d in enumerate(ids)], "doc_id long, text string")
+        order = sorted([tuple(r) for r in docs.select("doc_id", F.xxhash64("text"), "text").collect()], key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+        make = lambda: lambda d, t, after: (d, t, after)
+        met = winnow.neighbours(docs, make, "doc_id long, own string, after string").withColumn("task", F.spark_partition_id()).collect()
+        assert sorted((r.own, r.after) for r in met) == sorted((a[2], b[2]) for a, b in zip(order, [*order[1:], order[0]], strict=True))
+        for group, n in ((7, hot), (None, nulls)):
+            most = max(Counter(r.task for r in met if r.doc_id == group).values(), default=0)
+            assert n < 100 or most < n / 2
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 # --- 4 ---
 
 
@@ -337,6 +353,14 @@ def test_mixing(spark, odd, none, clash):
     assert mixing.mix(odd, ["doc_id", "text", "lang", "source", "n_chars"]).count() > 0
 
 
+def test_mixing_without_doc_ids(spark):
+    texts_ = [f"a{i} b{i} c{i}" for i in range(200)]
+    docs = [spark.createDataFrame([(d, t, "en", "a", 1) for t in ts], SCHEMA) for d in (None, 7) for ts in (texts_, texts_[::-1])]
+    cut = [{r.text for r in mixing.mix(x.unionByName(spark.createDataFrame([(1, "x " * 500, "en", "b", 1)], SCHEMA)), ["doc_id", "text", "n_chars"]).collect()} for x in docs]
+    assert cut[0] == cut[1] and cut[2] == cut[3]
+    assert mixing.plan(docs[0]).select("_bucket").distinct().count() > 100
+
+
 def test_time_of_inverts_the_integral(spark):
     knots = ((0.0, 0.0), (0.3, 2.0), (1.0, 0.5))
     t = [i / 50 for i in range(51)]
