@@ -9,7 +9,7 @@ that the words taken are the target rounded down.
 Curriculum: each source has a schedule, a piecewise linear rate over training time 0 to 1. Its
 integral is the source's cumulative demand of words; a pass of a document that begins after the
 fraction y of the source's target is trained at the time t where the integral reaches y. mix()
-returns documents range-sorted by that time.
+returns documents range-sorted by that time; account() reads that mix through and says by document what it holds.
 
 Prefix sums of a source are taken in two levels, BUCKETS ranges of the hash and then rows within
 a range, so that a source with a third of all rows is 4096 small windows, not one.
@@ -23,10 +23,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, word_count, written
+from .common import SPACE, mapped, word_count, written
 
 WEIGHTS = (5, 2, 1)
 #: Rates by the source's place among the weights: knots of (time, rate).
@@ -99,21 +100,54 @@ def _position(lap: Column, schedules) -> Column:
     return out
 
 
-def mix(docs: DataFrame, columns: Sequence[str], weights: Sequence[int] = WEIGHTS, schedules=SCHEDULES, cap: int = 3, with_position: bool = False) -> DataFrame:
+def mix(docs: DataFrame, columns: Sequence[str], weights: Sequence[int] = WEIGHTS, schedules=SCHEDULES, cap: int = 3, with_position: bool = False, with_plan: bool = False) -> DataFrame:
     """The mix: these columns of docs, a row for each pass of a document, in the order of training.
 
     A document that ends a source's target is cut after the words still needed (its white space
     then becomes single spaces); n_chars follows. Partition i of n holds training times from i / n on, sorted.
+
+    with_plan: also the position, and as `_plan` the row's size, source_size, target and place in its source; documents that the mix
+    doesn't take have a row too, without position and text, behind the others and dealt over all partitions.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = plan(docs, columns, weights, schedules, cap).where("passes > 0")
-    laps = rows.withColumn("_lap", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1)))
-    laps = laps.withColumn("position", _position(F.col("_lap"), schedules))
+    rows = plan(docs, columns, weights, schedules, cap)
+    rows = rows if with_plan else rows.where("passes > 0")
+    last = F.greatest(F.col("passes") - 1, F.lit(0))  # sequence() would count down
+    laps = rows.withColumn("_lap", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    laps = laps.withColumn("position", F.when(F.col("passes") > 0, _position(F.col("_lap"), schedules)))
     cut = (F.col("_lap") == F.col("_whole")) & (F.col("_part") < F.col("size"))
     short = F.array_join(F.slice(F.split(F.regexp_replace(F.col("_doc.text"), f"^{SPACE}+", ""), SPACE + "+"), F.lit(1), F.col("_part").cast("int")), " ")
-    laps = laps.withColumn("_text", F.when(cut, short).otherwise(F.col("_doc.text")))
+    laps = laps.withColumn("_text", F.when(F.col("passes") == 0, None).when(cut, short).otherwise(F.col("_doc.text")))
     value = {"text": F.col("_text"), "n_chars": F.when(cut, F.char_length("_text").cast("long")).otherwise(F.col("_doc.n_chars"))} if "n_chars" in columns else {"text": F.col("_text")}
-    out = laps.select("position", *[value.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in columns])
+    planned = F.struct("size", "source_size", "target", F.col("_source").alias("source"), F.col("_start").alias("start")).alias("_plan")
+    out = laps.select("position", *[value.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in columns], *[planned] * with_plan)
     slot = F.least(F.floor(F.col("position") * parts), F.lit(parts - 1)).cast("int")
-    out = out.repartitionById(parts, slot).sortWithinPartitions("position", *[c for c in ("doc_id",) if c in columns])
-    return out if with_position else out.drop("position")
+    if with_plan:
+        slot = F.when(F.col("position").isNotNull(), slot).otherwise(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns], "_plan.source", "_plan.start"), F.lit(parts)).cast("int"))
+    out = out.repartitionById(parts, slot).sortWithinPartitions(F.asc_nulls_last("position"), *[c for c in ("doc_id",) if c in columns])
+    return out if with_position or with_plan else out.drop("position")
+
+
+def account(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules=SCHEDULES, cap: int = 3) -> DataFrame:
+    """doc_id, size, source_size, target, taken, passes, first_position of each row of docs, by what stands in the mix.
+
+    The mix is made whole, texts repeated, cut and range-sorted, and read through; taken are the words of its texts. Only
+    their numbers are kept, as a table. A document of at least one word is known by its source and its place there.
+    """
+    mixed = mix(docs, ["doc_id", "text"], weights, schedules, cap, with_plan=True)
+    kind, names = docs.schema["doc_id"].dataType.simpleString(), ["position", "doc_id", "size", "source_size", "target", "source", "start"]
+
+    def make():
+        def step(batch: pa.RecordBatch) -> dict:
+            # bytes.split() splits at just the contract's white space
+            return {c: batch.column(c) for c in names} | {"words": [len(t.split()) if t else 0 for t in batch.column("text").to_pylist()]}
+
+        return step
+
+    laid = mixed.select("position", "doc_id", "_plan.*", F.col("text").cast("string").cast("binary").alias("text"))
+    counted = mapped(laid, make, f"position double, doc_id {kind}, size long, source_size long, target double, source string, start long, words long")
+    rows = written(docs.sparkSession, counted, "mix-rows")
+    keys = ["doc_id", "size", "source_size", "target"]
+    found = rows.where("position is not null").groupBy("source", "start", *keys).agg(F.sum("words").alias("taken"), F.count(F.lit(1)).alias("passes"), F.min("position").alias("first_position"))
+    missed = rows.where("position is null").select(*keys, F.col("words").alias("taken"), F.lit(0).cast("long").alias("passes"), F.col("position").alias("first_position"))
+    return found.select(*missed.columns).unionByName(missed)

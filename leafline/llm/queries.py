@@ -38,8 +38,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixing.plan(table(spark, sf_dir, "documents"))
-    return planned.select("doc_id", "size", "source_size", "target", "taken", "passes", F.round("first_position", 9).alias("first_position"))
+    found = mixing.account(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "passes", F.round("first_position", 9).alias("first_position"))
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

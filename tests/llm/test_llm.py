@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, __file__.rsplit("/", 2)[0])
 from compare import duck, same  # noqa: E402
 
-from leafline.llm import bpe, exact_dedup, licenses, mixing, ngram_join, pii, queries, toxicity, url_rules, warc, winnow  # noqa: E402
+from leafline.llm import bpe, common, exact_dedup, licenses, mixing, ngram_join, pii, queries, toxicity, url_rules, warc, winnow  # noqa: E402
 
 RANKS = public_tokenizers.path(queries.VOCABULARY)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -361,6 +361,30 @@ def test_mixing_without_doc_ids(spark):
     assert mixing.plan(docs[0]).select("_bucket").distinct().count() > 100
 
 
+def test_mixing_query_accounts_for_the_sorted_mix(spark, odd, tmp_path, monkeypatch):
+    read = []
+    monkeypatch.setattr(mixing, "mapped", lambda df, *a, mapped=common.mapped: mapped(read.append(df) or df, *a), raising=False)
+    rng = random.Random(3)
+    more = [(100 + i, " ".join(f"w{j}" for j in range(rng.randint(0, 20))), "en", rng.choice(["s", "t", "v", "v"]), 1) for i in range(300)]
+    odd.unionByName(spark.createDataFrame(more, SCHEMA)).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op5_mixing(spark, str(tmp_path)).collect()
+    mixed = read[0].withColumn("part", F.spark_partition_id()).collect()
+    assert mixed == sorted(mixed, key=lambda r: (r.part, r.position is None, r.position)) and len({r.part for r in mixed if r.position is None}) == 4
+    mixed = [r for r in mixed if r.position is not None]
+    assert [r.position for r in mixed] == sorted(r.position for r in mixed) and len({r.part for r in mixed}) == 4
+    words, passes = Counter(), Counter()
+    for r in mixed:
+        words[r.doc_id] += len(re.findall(r"[^\x20\x09-\x0D]+", bytes(r.text).decode()))
+        passes[r.doc_id] += 1
+    of = defaultdict(lambda: [0, 0])
+    for r in got:
+        of[r.doc_id][0] += r.taken
+        of[r.doc_id][1] += r.passes
+    assert {d: tuple(v) for d, v in of.items() if v[1]} == {d: (words[d], passes[d]) for d in passes}
+    key = lambda r: tuple((x is None, x) for x in (r.doc_id, r.size, r.source_size, r.target, r.taken, r.passes))
+    assert sorted(map(key, got)) == sorted(map(key, mixing.plan(odd.unionByName(spark.createDataFrame(more, SCHEMA))).collect()))
+
+
 def test_time_of_inverts_the_integral(spark):
     knots = ((0.0, 0.0), (0.3, 2.0), (1.0, 0.5))
     t = [i / 50 for i in range(51)]
