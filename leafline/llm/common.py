@@ -181,22 +181,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bits of the filter of rows that may leave, for each of them and at most (8 MB); 2 ** PAGE bits are a row of its table.
+SPREAD, MOST, PAGE = 32, 26, 15
+
+
+def _doubted(keyed: DataFrame, like: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of keyed whose keys are surely not in like, and the rest, without a shuffle.
+
+    A bit set of the hashes of like's keys is broadcast, of bounded size: where like outgrows it, more of the rows are doubted, none is lost.
+    """
+    at, page, bits = "_leafline_at", "_leafline_page", "_leafline_bits"
+    wide = 1 << min(MOST, max(PAGE, (SPREAD * like.count()).bit_length()))
+    place = F.pmod(F.xxhash64(*keys), F.lit(wide))
+    pages = like.select(place.alias(at)).groupBy(F.shiftright(at, PAGE).alias(page)).agg(F.bitmap_construct_agg(F.col(at).bitwiseAND(F.lit((1 << PAGE) - 1))).alias(bits))
+    met = keyed.withColumn(at, place).join(F.broadcast(pages), F.shiftright(at, PAGE) == F.col(page), "left")
+    byte = F.expr(f"cast(conv(hex(substring({bits}, cast(({at} & {(1 << PAGE) - 1}) div 8 as int) + 1, 1)), 16, 10) as int)")
+    doubt = F.coalesce(F.getbit(byte, (F.col(at) % 8).cast("int")) == 1, F.lit(False))
+    return met.where(~doubt).select(*keyed.columns), met.where(doubt).select(*keyed.columns)
+
+
 def staying(docs: DataFrame, columns: list[str], marked: DataFrame) -> DataFrame:
     """The rows of docs that stay, with these columns.
 
     marked(doc_id, text_sha256 of the raw text, all, one, rows) says of the rows of docs whether all like them stay, or
-    one of them; its `rows` add up to the rows of docs. Texts are not dealt out: rows that go are few or many, but narrow, and Spark broadcasts their keys where
-    the size of the written table allows it. Only rows that repeat a doc_id with its text are ranked, by their columns.
+    one of them; its `rows` add up to the rows of docs. Texts are dealt out only of rows that may leave, by _doubted(), so that what is shuffled grows with
+    those; there the keys decide. Only rows that repeat a doc_id with its text are ranked, by their columns.
     """
     spark, id_, text = docs.sparkSession, "_leafline_id", "_leafline_text"
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     like = marked.groupBy(name("doc_id").alias(id_), F.col("text_sha256").alias(text)).agg(F.bool_or("all").alias("all"), F.bool_or("one").alias("one"), F.sum("rows").alias("n"))
     like = written(spark, like.where("not all and (not one or n > 1)").select(id_, text, "one"), "leaving")
     keyed = docs.select(*[F.col(f"`{c}`") for c in columns], name("doc_id").alias(id_), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256).alias(text))
-    rest = keyed.join(like, [id_, text], "left_anti")
+    sure, doubted = _doubted(keyed, like, [id_, text])
+    out = sure.select(*columns).unionByName(doubted.join(like, [id_, text], "left_anti").select(*columns))
+    if like.where("one").isEmpty():
+        return out
     order = Window.partitionBy(id_, text).orderBy(*[F.col(f"`{c}`") for c in columns])
-    again = keyed.join(like.where("one"), [id_, text], "left_semi").withColumn("_leafline_n", F.row_number().over(order)).where("_leafline_n = 1")
-    return rest.select(*columns).unionByName(again.select(*columns))
+    again = doubted.join(like.where("one"), [id_, text], "left_semi").withColumn("_leafline_n", F.row_number().over(order)).where("_leafline_n = 1")
+    return out.unionByName(again.select(*columns))
 
 
 def word_count(column) -> Column:

@@ -883,6 +883,37 @@ def test_stages_on_empty_tables_and_extra_columns(spark, tmp_path):
         assert docs.count() == (0 if n == 0 else 1)
 
 
+def test_rows_that_surely_stay_are_not_dealt_out(spark, odd, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, "".join(chr(rng.randrange(97, 123)) for _ in range(2000)), "en", "s", 2000) for i in range(2000)]
+    docs = common.written(spark, spark.createDataFrame(rows + rows[:5] + rows[50:55], SCHEMA).repartition(4), "test")
+    # 100 leave; 5 of them stand twice and leave both; of 5 others that stand twice one stays
+    goes, one = F.col("doc_id").between(0, 99) & ~F.col("doc_id").between(50, 54), F.col("doc_id").between(50, 54)
+    marked = common.written(spark, docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), (~goes & ~one).alias("all"), one.alias("one"), F.lit(1).alias("rows")), "test")
+    whole = sorted(r.doc_id for r in docs.select("doc_id").collect())
+    stay = sorted([i for i in whole if i >= 100] + list(range(50, 55)))
+
+    def dealt() -> int:
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorList(True).head().totalShuffleWrite()
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        before = dealt()
+        got = common.staying(docs, ["doc_id", "text", "lang"], marked).collect()
+        assert sorted(r.doc_id for r in got) == stay and all(r.text == rows[r.doc_id][1] for r in got)
+        assert dealt() - before < 0.3 * 2000 * len(rows)
+        # a filter that is far too small only doubts more rows
+        monkeypatch.setattr(common, "MOST", 5)
+        monkeypatch.setattr(common, "PAGE", 5)
+        assert sorted(r.doc_id for r in common.staying(docs, ["doc_id"], marked).collect()) == stay
+        assert sorted((str(r.doc_id), r.text or "") for r in common.staying(odd, ["doc_id", "text"], marked.limit(0)).collect()) == sorted((str(r[0]), r[1] or "") for r in ODD)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_every_query_is_registered(spark):
     import __spark_entry__ as e
 
