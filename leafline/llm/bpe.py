@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, texts
+from .common import kept, mapped, texts
 
 BUCKETS = (4, 8, 12, 16, 24, 32, 64, 128)
 WIDE = 256
@@ -197,18 +197,6 @@ class Encoder:
         return tuple(ids.tolist())
 
 
-_made: dict[tuple[bytes, str], Encoder] = {}
-
-
-def encoder(raw: bytes, pattern: str) -> Encoder:
-    """The worker's encoder of this vocabulary; made once in a process."""
-    key = (hashlib.sha256(raw).digest(), pattern)
-    if key not in _made:
-        _made.clear()
-        _made[key] = Encoder(raw, pattern)
-    return _made[key]
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (with_ids), ids_sha256 and decoded_sha256 of each row of docs(doc_id, text).
 
@@ -216,11 +204,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True
     on the driver and broadcast: its size is that of one tokenizer file. No shuffle.
     """
     with open(ranks_path, "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+        raw = f.read()
+    shared, key = docs.sparkSession.sparkContext.broadcast(raw), (hashlib.sha256(raw).digest(), pattern)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make():
-        enc = encoder(shared.value, pattern)
+        enc = kept(key, lambda: Encoder(shared.value, pattern))  # made once in a worker
 
         def step(batch: pa.RecordBatch) -> dict:
             out = {"doc_id": batch.column("doc_id"), "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
@@ -237,7 +226,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True
         return step
 
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return mapped(docs.select("doc_id", F.col("text").cast("string").alias("text")), make, schema)
+    return mapped(docs.select("doc_id", F.col("text").cast("string").alias("text")), make, schema, keeps=key)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:

@@ -131,17 +131,39 @@ def _outs(out) -> Iterable[dict]:
     return () if out is None else (out,) if isinstance(out, dict) else out
 
 
-def mapped(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str, last: bool = False) -> DataFrame:
+#: What a worker keeps between its tasks.
+_kept: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What make() gives, kept by the process under this key."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def _release(keeps: object) -> None:
+    """Forgets what was kept under other keys."""
+    others = [k for k in _kept if k != keeps]
+    for k in others:
+        del _kept[k]
+    if others:
+        trim()
+
+
+def mapped(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str, last: bool = False, keeps: object = None) -> DataFrame:
     """mapInArrow with columns as dicts. make() runs once in each task and gives the function for a batch.
 
     That function returns a dict, None, or an iterator of dicts, each a batch. With last, it is called once more with None after the
-    last batch. Batches that come in have ROWS rows and BYTES bytes at most, whatever the session's settings.
+    last batch. Batches that come in have ROWS rows and BYTES bytes at most, whatever the session's settings. keeps: the key of kept() that
+    the tasks use; what a worker kept for other operators goes when a task begins, as workers live on from stage to stage.
     """
     ship(df.sparkSession)
     bounded_batches(df.sparkSession)
     arrow = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _release(keeps)
         step = make()
         for batch in batches:
             for part in _parts(batch):
@@ -149,12 +171,12 @@ def mapped(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | N
         if last:
             yield from (_batch(out, arrow) for out in _outs(step(None)))
         del step
-        _trim()
+        trim()
 
     return df.mapInArrow(run, schema)
 
 
-def _trim() -> None:
+def trim() -> None:
     """Gives freed memory back: workers live on between tasks, beside a heap that fills the rest."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):

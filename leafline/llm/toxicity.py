@@ -40,7 +40,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, mapped, texts, written
+from .common import drop, kept, mapped, texts, trim, written
 
 SAMPLE, K, BLOCK, DENSE, SOFT, PRIOR, FLOOR = 6_000, 15, 64, 32, 0.05, 1.0, 0.01
 #: Texts that are scored together.
@@ -320,6 +320,8 @@ def _learn(docs: DataFrame, labels: DataFrame, columns: list[str], sample: int,
     index.__dict__ = {f: v for f, v in index.__dict__.items() if f not in ("blocks", "row", "dense", "maxima", "vectors")}  # made anew by each process, or done with
     shared.unpersist()
     drop(spark, taught)
+    del examples, seen, found
+    trim()
     return index, bags
 
 
@@ -331,19 +333,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int = K) ->
     return index
 
 
-_laid: dict[object, Index] = {}
-
-
 def _scored(bags: DataFrame, index: Index, columns: list[str], k: int) -> DataFrame:
     shared, key = bags.sparkSession.sparkContext.broadcast(replace(index, terms={})), uuid.uuid4().hex
     keep = [c for c in columns if c not in ("score", "predicted", "evidence")]
     schema = "".join(f"`{c}` {bags.schema[c].dataType.simpleString()}, " for c in keep)
 
     def make():
-        if key not in _laid:  # one index a worker, kept between its tasks
-            _laid.clear()
-            _laid[key] = shared.value
-        model = _laid[key]
+        model = kept(key, lambda: shared.value)  # one index a worker
 
         def step(batch: pa.RecordBatch) -> dict:
             terms, counts = batch.column("_leafline_terms"), batch.column("_leafline_counts")
@@ -353,7 +349,7 @@ def _scored(bags: DataFrame, index: Index, columns: list[str], k: int) -> DataFr
 
         return step
 
-    return mapped(bags.select(*[F.col(f"`{c}`") for c in keep], "_leafline_terms", "_leafline_counts"), make, schema + "score double, predicted int, evidence string")
+    return mapped(bags.select(*[F.col(f"`{c}`") for c in keep], "_leafline_terms", "_leafline_counts"), make, schema + "score double, predicted int, evidence string", keeps=key)
 
 
 def score(docs: DataFrame, index: Index, columns: list[str], k: int = K) -> DataFrame:

@@ -914,6 +914,22 @@ def test_rows_that_surely_stay_are_not_dealt_out(spark, odd, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_workers_forget_what_other_operators_kept(spark, odd):
+    labels = spark.createDataFrame([(1, 0), (6, 1), (8, 0)], "doc_id long, toxic int")
+
+    def make():
+        def step(batch):
+            import gc
+
+            return {"n": [sum(type(o).__name__ in ("Encoder", "Index") and type(o).__module__.startswith("leafline") for o in gc.get_objects())]}
+
+        return step
+
+    for work in (bpe.encode(odd, RANKS, public_tokenizers.PATTERN), toxicity.fit_score(odd, labels, ["doc_id"])):
+        work.collect()
+        assert {r.n for r in common.mapped(odd, make, "n int").collect()} == {0}
+
+
 def test_every_query_is_registered(spark):
     import __spark_entry__ as e
 
