@@ -1,5 +1,6 @@
 """Every query of the engine against its SQL; those without SQL run and give rows."""
 
+import duckdb
 import pytest
 from compare import duck, same
 
@@ -65,3 +66,11 @@ def test_probes_reach_beyond_the_first_bytes(spark, sf):
     assert QUERIES["V23_owning_or_flanking_whole"](spark, sf).where("at >= 400 and owner is not null").count() > 0
     clamped = QUERIES["M19_active_block_whole"](spark, sf).where("progress = 1.0 and at >= 400")
     assert clamped.count() > 0
+
+
+def test_requests_on_titles_that_end_within_an_entity(spark, tmp_path):
+    titles = ["The&a", "Das&amp;&amp;am", "x&amp", "a > b", "R&D &eacute;", "&#84;itel"]
+    spark.createDataFrame([(i, "/u", f"<html><head><title>{t}</title></head><body><p>text</p></body></html>") for i, t in enumerate(titles)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    name, con = "D7_D9_D13_D25_G9_G12_G13_requests", duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    same(QUERIES[name](spark, str(tmp_path)), con, SQL[name])

@@ -56,6 +56,32 @@ def test_segments_and_splice():
         html.splice(t, ["one"])
 
 
+@pytest.mark.parametrize("raw", ["The&a", "x&amp", "b &amp;&am", "&#84;he R&D", "&eacute;t&eacute; > <b>x", "&#1;a &nbsp;"])
+def test_unchanged_ends_of_a_segment_keep_their_spelling(raw):
+    t = f"<title>{raw}</title>"
+    ((text, _),) = html.segments(t)
+    assert html.splice(t, ["Titel: " + text]) == f"<title>Titel: {raw}</title>"
+    assert html.splice(t, [text + " Ende"]) == f"<title>{raw} Ende</title>"
+
+
+def test_kept_spelling_never_reads_on():
+    assert html.splice("<p>R& x</p>", ["R&lt; y"]) == "<p>R&amp;lt; y</p>"
+    assert html.splice("<p>a < c</p>", ["a <b>"]) == "<p>a &lt;b&gt;</p>"
+    assert html.splice("<p>one&nbsp;two</p>", ["eins\u00a0zwei"]) == "<p>eins\u00a0zwei</p>"
+    rng, parts = random.Random(3), "& &amp; &amp amp; lt; < > b> / a é &#233; &copy ; right title> !-- &#1;".split(" ")
+    for _ in range(4000):
+        tag, raw = rng.choice(("p", "title")), "".join(rng.choice(parts) for _ in range(rng.randint(1, 7)))
+        t = f"<{tag}>{raw}</{tag}><b>k</b>"
+        texts = [s for s, _ in html.segments(t)]
+        if not texts:  # all of it is within a comment
+            continue
+        i = rng.randrange(len(texts))
+        a, b = sorted(rng.randint(0, len(texts[i])) for _ in range(2))
+        texts[i] = texts[i][:a] + rng.choice(parts) + texts[i][b:]
+        if texts[i].strip():
+            assert html.segments_and_tags(html.splice(t, texts)) == (texts, html.inventory(t))
+
+
 def test_nesting_ceiling():
     with pytest.raises(html.TooDeep):
         html.segments("<div>" * 600)
